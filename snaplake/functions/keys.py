@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIELD_MARK = "\x1f"
-NULL_MARK = "\x00"
+NULL_MARK = "\x1e"
 
 
 def row_hash(columns: Iterable[str]) -> Column:
@@ -32,9 +32,14 @@ def date_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch, for timestamps with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def age_in_days(ts: Column, now: Column) -> Column:
     """Whole 24-hour days between two instants, rounded down."""
-    return F.floor((F.unix_micros(now) - F.unix_micros(ts)) / F.lit(86_400_000_000)).cast("bigint")
+    return F.floor((micros(now) - micros(ts)) / F.lit(86_400_000_000)).cast("bigint")
 
 
 def version_date(version: Column) -> Column:

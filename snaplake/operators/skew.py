@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snaplake.functions.keys import micros
 from snaplake.session import materialise
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
@@ -164,7 +165,7 @@ def with_neighbour(
     ts, tie = order
     partition = list(partition)
     base = df.withColumn("_value", F.struct(value.alias("v"))).withColumn(
-        "_ts", F.unix_micros(ts).cast("double")
+        "_ts", micros(F.col(ts)).cast("double")
     ).withColumn("_tie", F.col(tie).cast("double"))
     ts_bounds, tie_bounds = _bounds(base.select("_ts", "_tie"), ["_ts", "_tie"], buckets)
     cut = _bucketed(_bucketed(base, "_ts", ts_bounds, "_range"), "_tie", tie_bounds, "_tie_range")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snaplake.functions.keys import FIELD_MARK, NULL_MARK
 from snaplake.functions.typing import iso_timestamp, missing_tokens_to_null
 
 ARTIFACT_SCHEMA = T.StructType(
@@ -69,7 +70,7 @@ def filings(raw: DataFrame) -> DataFrame:
         F.col("`Organization CRD#`").alias("crd_number"),
         iso_timestamp(F.col("`Latest ADV Filing Date`")).alias("filing_date"),
         F.col("`Form Version`").alias("form_version"),
-        F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`"), F.lit("\x00")) for c in sorted(raw.columns)]), 256)
+        F.sha2(F.concat_ws(FIELD_MARK, *[F.coalesce(F.col(f"`{c}`"), F.lit(NULL_MARK)) for c in sorted(raw.columns)]), 256)
         .alias("content_hash"),
         F.lit("REGISTERED").alias("retrieval_status"),
     ).filter("firm_id IS NOT NULL AND filing_date IS NOT NULL")
