@@ -27,20 +27,22 @@ ARTIFACT_SCHEMA = T.StructType(
         T.StructField("missing", T.ArrayType(T.StringType())),
         T.StructField("extra", T.ArrayType(T.StringType())),
         T.StructField("_corrupt_record", T.StringType()),
+        T.StructField("artifact_type", T.StringType()),
+        T.StructField("dataset_version", T.StringType()),
     ]
 )
 
 
-def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
+def scan_artifacts(spark: SparkSession, root: str, one_per_file: bool = False) -> DataFrame:
     """Report documents below ``artifact_type=/dataset_version=`` folders.
 
     Unreadable documents are left out.  Type and version come from the path,
-    so a filter on either one prunes folders.
+    so a filter on either one prunes folders.  ``one_per_file`` reads files
+    that hold one document over many lines.
     """
     return (
         spark.read.schema(ARTIFACT_SCHEMA)
-        .option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", False).option("basePath", root)
+        .option("multiLine", one_per_file).option("mode", "PERMISSIVE").option("basePath", root)
         .json(root)
         .withColumn("source_file", F.col("_metadata.file_path"))
         .withColumn("written_at", F.col("_metadata.file_modification_time"))
