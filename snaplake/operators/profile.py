@@ -1,8 +1,8 @@
-"""Column and table profiles.
+"""Column and table profiles, for stored tables.
 
-``value_counts`` turns a table into (column, value, rows) with one shuffle
-that is combined map-side.  Every column statistic is then computed from the
-distinct values and their counts instead of from all rows again.
+``value_counts`` turns a table into (column, value, rows), combined map-side.
+Every column statistic is then computed from the distinct values and their
+counts instead of from all rows again.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from snaplake import fixed_values as fv
 from snaplake.functions.text import name_class
 
-# Columns unpivoted per branch, so that the generated code stays small.
+# Up to this many columns each get their own grouping; wider tables are
+# unpivoted this many columns at a time.
 CHUNK = 64
-NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
+# Columns per sketch aggregate, so that its generated code stays small.
+SKETCH_CHUNK = 4
 
 
 def type_names(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -32,15 +34,28 @@ def _is_numeric(t: T.DataType) -> bool:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n): each column's distinct values as text, NULL included."""
+    """(column_name, value, n): each column's distinct values as text, NULL included.
+
+    A stored table is columnar, so grouping each column by itself reads every
+    column chunk once, keeps native types and multiplies no rows.  A very wide
+    table is unpivoted in chunks instead, to keep the plan small.
+    """
     columns = list(columns or df.columns)
-    parts = []
-    for start in range(0, len(columns), CHUNK):
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-            for c in columns[start:start + CHUNK]
-        ])
-        parts.append(df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    n = F.count(F.lit(1)).alias("n")
+    if len(columns) <= CHUNK:
+        parts = [
+            df.groupBy(F.col(f"`{c}`").alias("_v")).agg(n)
+            .select(F.lit(c).alias("column_name"), F.col("_v").cast("string").alias("value"), "n")
+            for c in columns
+        ]
+    else:
+        parts = []
+        for start in range(0, len(columns), CHUNK):
+            cells = F.array(*[
+                F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
+                for c in columns[start:start + CHUNK]
+            ])
+            parts.append(df.select(F.inline(cells)).groupBy("column_name", "value").agg(n))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -61,7 +76,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approxim
     if approximate:
         stats = reduce(
             DataFrame.unionByName,
-            [_sketch_profile(df, columns[i:i + CHUNK], texts, numbers) for i in range(0, len(columns), CHUNK)],
+            [_sketch_profile(df, columns[i:i + SKETCH_CHUNK], texts, numbers) for i in range(0, len(columns), SKETCH_CHUNK)],
         )
     else:
         v = F.col("value")

@@ -144,16 +144,49 @@ def gate(checks: DataFrame) -> bool:
 
 
 def validate_snapshot(firms: DataFrame, offices: DataFrame, acquired: DataFrame) -> DataFrame:
-    """Every key, reference and completeness check of one typed snapshot."""
-    return all_checks(
-        missing_keys(firms, "firms", ["firm_id"]),
-        missing_keys(offices, "firm_offices", ["firm_id"]),
-        missing_keys(acquired, "firm_acquired_firms", ["parent_firm_id"]),
-        duplicate_check(firms, "firms", ["firm_id"]),
-        duplicate_check(offices, "firm_offices", ["firm_id", "office_type"]),
-        reference_check(offices, firms, "firm_offices", "firm_id", "firm_id"),
-        reference_check(acquired, firms, "firm_acquired_firms", "parent_firm_id", "firm_id"),
-        orphan_check(firms, offices, "firms", "firm_id", "firm_id"),
-        unexpected_nulls(firms, "firms", fv.CRITICAL_FIRM_FIELDS),
-        unexpected_nulls(offices, "firm_offices", fv.CRITICAL_OFFICE_FIELDS, F.col("office_type") == "MAIN"),
+    """Every key, reference and completeness check of one typed snapshot.
+
+    Each table is read once and reduced to one row per firm, with its row,
+    duplicate and NULL counts; the three are joined on the firm and summed.
+    """
+    def nulls(prefix: str, columns: Sequence[str], scope: Column) -> list[Column]:
+        return [F.count_if(F.col(c).isNull() & scope).alias(f"{prefix}_{c}") for c in columns]
+
+    n = F.count(F.lit(1))
+    per_firm = firms.groupBy("firm_id").agg(
+        n.alias("f_rows"), *nulls("f", fv.CRITICAL_FIRM_FIELDS, F.lit(True))
+    )
+    is_main = F.col("office_type") == "MAIN"
+    office_null = [f"o_{c}" for c in fv.CRITICAL_OFFICE_FIELDS]
+    per_office = (
+        offices.groupBy("firm_id", "office_type").agg(n.alias("o_rows"), *nulls("o", fv.CRITICAL_OFFICE_FIELDS, is_main))
+        .groupBy("firm_id").agg(
+            F.sum("o_rows").alias("o_rows"), F.count_if(F.col("o_rows") > 1).alias("o_twice"),
+            *[F.sum(c).alias(c) for c in office_null],
+        )
     )
+    per_acquired = acquired.groupBy(F.col("parent_firm_id").alias("firm_id")).agg(n.alias("a_rows"))
+    joined = per_firm.join(per_office, "firm_id", "full").join(per_acquired, "firm_id", "full")
+
+    no_key, no_firm = F.col("firm_id").isNull(), F.col("f_rows").isNull()
+    bad = [
+        ("missing_keys", "firms", "firm_id", F.when(no_key, F.col("f_rows")), "error"),
+        ("missing_keys", "firm_offices", "firm_id", F.when(no_key, F.col("o_rows")), "error"),
+        ("missing_keys", "firm_acquired_firms", "parent_firm_id", F.when(no_key, F.col("a_rows")), "error"),
+        ("duplicate_keys", "firms", "firm_id", (F.col("f_rows") > 1).cast("bigint"), "error"),
+        ("duplicate_keys", "firm_offices", "firm_id,office_type", F.col("o_twice"), "error"),
+        ("broken_references", "firm_offices", "firm_id", F.when(no_firm, F.col("o_rows")), "error"),
+        ("broken_references", "firm_acquired_firms", "parent_firm_id", F.when(no_firm, F.col("a_rows")), "error"),
+        ("orphans", "firms", "firm_id", F.when(F.col("o_rows").isNull(), F.col("f_rows")), "warning"),
+        *[("unexpected_nulls", "firms", c, F.col(f"f_{c}"), "error") for c in fv.CRITICAL_FIRM_FIELDS],
+        *[("unexpected_nulls", "firm_offices", c, F.col(f"o_{c}"), "error") for c in fv.CRITICAL_OFFICE_FIELDS],
+    ]
+    counted = joined.agg(*[F.coalesce(F.sum(count), F.lit(0)).alias(f"b{i}") for i, (_, _, _, count, _) in enumerate(bad)])
+    rows = F.array(*[
+        F.struct(
+            F.lit(check).alias("check"), F.lit(entity).alias("entity"), F.lit(metric).alias("metric"),
+            F.col(f"b{i}").alias("bad_count"), F.lit(severity).alias("severity"),
+        )
+        for i, (check, entity, metric, _, severity) in enumerate(bad)
+    ])
+    return counted.select(F.inline(rows)).withColumn("passed", F.col("bad_count") == 0)

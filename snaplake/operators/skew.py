@@ -20,6 +20,9 @@ from snaplake.session import materialise
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
 # never more than HOT_SHARE hot keys: that bounds what lookup_join broadcasts.
 HOT_SHARE = 1000
+# A lookup of at most this many rows is broadcast as it is; the row count is
+# checked before, and a larger lookup takes the shuffle join.
+BROADCAST_ROWS = 300_000
 # Values one rank bucket should hold; a bucket is sorted inside one task.
 BUCKET_VALUES = 250_000
 MAX_BUCKETS = 10_000
@@ -39,15 +42,28 @@ def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most that many rows; counting stops beyond them."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Many-to-one equi-join to a lookup with one row per key.
 
-    Hot keys meet their at most HOT_SHARE lookup rows in a broadcast.  In the
+    A lookup that was counted and found small is broadcast: no row moves.
+    Otherwise hot keys meet their at most HOT_SHARE lookup rows in a broadcast.  In the
     shuffle join that serves the other keys, hot rows and rows with a NULL key
     are spread by their input partition, so no task gets a hot group.
     ``how`` is left, inner, left_semi or left_anti.
     """
     keys = list(keys)
+    if is_small(lookup):
+        return rows.join(F.broadcast(lookup), keys, how)
+    return spread_join(rows, lookup, keys, how)
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``lookup_join`` beyond the broadcast size."""
     payload = [c for c in lookup.columns if c not in keys]
     keep = how in ("left", "inner")
     facts = lookup.select(*keys, F.struct(*(payload if keep else []), F.lit(True).alias("_found")).alias("_facts"))
@@ -93,7 +109,7 @@ def _bucketed(df: DataFrame, column: str, bounds: Sequence[float], out: str) ->
 def value_positions(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with their count, the rows below them and all rows.
 
-    Output: value, n, below, total.  Rows are counted per value first, so a
+    Output: value, n, below, total.  ``df`` is read once.  Rows are counted per value first, so a
     hot value is one row.  The counts are written once; quantiles of the
     *distinct* values then cut them into even ranges, a running sum runs
     inside each range, and the at most MAX_BUCKETS range totals are summed in

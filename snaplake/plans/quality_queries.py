@@ -7,6 +7,7 @@ from snaplake.operators import diff, normalize, profile, quality
 from snaplake.plans.inputs import ctes, frame, table
 from snaplake.plans.registry import query
 from snaplake.plans.typing_queries import _FIRM_SQL, _null, _office_sql, _snapshot
+from snaplake.session import materialise
 from snaplake.sources import dimensions
 from snaplake.sources.snapshots import list_versions
 
@@ -155,7 +156,9 @@ _CUSTOMER = [
 
 
 def _roster(spark, d):
-    return frame(spark, d, "roster").select(*[F.col(f"`{n.strip(chr(34))}`") for n, _ in _ROSTER])
+    raw = frame(spark, d, "roster").select(*[F.col(f"`{n.strip(chr(34))}`") for n, _ in _ROSTER])
+    # A raw extract is stored before it is profiled.
+    return materialise(raw)
 
 
 @query("profile_columns", _profile_sql("lineitem", _LINEITEM))
@@ -242,12 +245,12 @@ _PATTERN_COLUMNS = ("key", "segment", "code", "mail", "name", "nothing", "day",
 
 
 def _patterned(spark, d):
-    return table(spark, d, "customer").selectExpr(
+    return materialise(table(spark, d, "customer").selectExpr(
         "CAST(c_custkey AS STRING) AS key", "c_mktsegment AS segment", "concat(c_mktsegment, c_nationkey) AS code",
         "c_name || '@example.com' AS mail", "c_name AS name", "CAST(NULL AS STRING) AS nothing",
         "date_format(date_add(DATE '2020-01-01', c_nationkey), 'yyyy-MM-dd') AS day",
         "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS sparse",
-    )
+    ))
 
 
 def _per_column(select: str) -> str:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from snaplake import fixed_values as fv
 from snaplake.operators import diff, events, score, serve
 from snaplake.operators.skew import with_tie_percentile
-from snaplake.plans.inputs import NOW, ctes, frame, table
+from snaplake.plans.inputs import NEW, NOW, ctes, frame, table
 from snaplake.plans.registry import query
+from snaplake.session import materialise
 from snaplake.sources import dimensions
 from snaplake.sources.snapshots import union_snapshots
 
@@ -20,7 +21,8 @@ _SCORED = ctes("part_scores") + _COMPONENTS + f""", scored AS (
 
 
 def _scored(spark, d):
-    return score.percentile_score(score.with_components(frame(spark, d, "part_scores")))
+    # Typed firms are stored before they are scored.
+    return score.percentile_score(score.with_components(materialise(frame(spark, d, "part_scores"))))
 
 
 @query("component_scores", ctes("part_scores") + _COMPONENTS + "SELECT firm_id, score_aum, score_growth, score_risk FROM parts")
@@ -65,7 +67,7 @@ def degenerate_test(spark, d):
 
 @query("pca_score")
 def pca_score(spark, d):
-    return score.pca_score(score.with_components(frame(spark, d, "part_scores"))).select("firm_id", "acquisition_score")
+    return score.pca_score(score.with_components(materialise(frame(spark, d, "part_scores")))).select("firm_id", "acquisition_score")
 
 
 _WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in fv.CATEGORY_WEIGHTS)
@@ -277,11 +279,10 @@ queue AS (SELECT firm_id, name, priority_category, acquisition_score,
 
 
 def _queue(spark, d):
-    scored = frame(spark, d, "ranked").join(frame(spark, d, "scored_new").select("firm_id", "dataset_version"),
-                                            ["firm_id", "dataset_version"], "left_semi")
-    return events.refresh_queue(
-        scored, frame(spark, d, "research"), _events(spark, d), F.lit(NOW).cast("timestamp")
-    )
+    # The scored snapshot is read twice, so it is stored first.
+    new = materialise(frame(spark, d, "ranked").filter(F.col("dataset_version") == NEW))
+    found = events.change_events(frame(spark, d, "scored_old"), new)
+    return events.refresh_queue(new, frame(spark, d, "research"), found, F.lit(NOW).cast("timestamp"))
 
 
 @query("refresh_queue", _QUEUE + "SELECT * FROM queue")
