@@ -23,40 +23,39 @@ def selected_targets(scored: DataFrame, categories: Sequence[str]) -> DataFrame:
     return scored.filter(F.col("priority_category").isin(*categories))
 
 
-def source_tasks(targets: DataFrame, sources: DataFrame) -> DataFrame:
+def source_tasks(targets: DataFrame, types: Sequence[str] = fv.CORE_SOURCE_TYPES) -> DataFrame:
     """One task per target and source type.
 
-    The only pairing of two tables here: each firm meets the closed list of
-    source types (ten at most), carried inside the row as an array, so the
-    output is targets times that constant.
+    The closed list of source types travels as one array literal, so the
+    output is made row by row and nothing is joined.
     """
-    types = sources.agg(F.collect_list(F.struct("source_type", "source_authority", "source_title", "taxonomy_url")).alias("_s"))
-    return (
-        targets.crossJoin(F.broadcast(types))
-        .select("firm_id", "dataset_version", "website_address", F.inline("_s"))
-        .select(
-            *TASK, "source_authority",
-            source_address(F.col("source_type"), F.col("website_address"), F.col("taxonomy_url")).alias("source_url"),
-            "source_title", F.lit("NOT_STARTED").alias("status"),
-        )
+    fields = ("source_type", "source_authority", "source_title", "taxonomy_url")
+    chosen = [r for r in fv.SOURCE_TAXONOMY if r[0] in types]
+    rows = F.array(*[
+        F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields, r)]) for r in chosen
+    ])
+    return targets.select("firm_id", "dataset_version", "website_address", F.inline(rows)).select(
+        *TASK, "source_authority",
+        source_address(F.col("source_type"), F.col("website_address"), F.col("taxonomy_url")).alias("source_url"),
+        "source_title", F.lit("NOT_STARTED").alias("status"),
     )
 
 
 def seed(
-    scored: DataFrame, records: DataFrame, tasks: DataFrame, sources: DataFrame,
+    scored: DataFrame, records: DataFrame, tasks: DataFrame, types: Sequence[str] = fv.CORE_SOURCE_TYPES,
     categories: Sequence[str] = ("PRIORITY_A", "PRIORITY_B"),
 ) -> tuple[DataFrame, DataFrame]:
     """(records, tasks) to append; what analysts already have is never touched."""
     targets = selected_targets(scored, tuple(dict.fromkeys(categories)))
     new_records = absent_rows(records, targets.select(*RECORD, F.lit("NOT_STARTED").alias("research_status")), RECORD)
-    new_tasks = absent_rows(tasks, source_tasks(targets, sources), TASK)
+    new_tasks = absent_rows(tasks, source_tasks(targets, types), TASK)
     return new_records, new_tasks
 
 
 def seed_counts(targets: DataFrame, new_records: DataFrame) -> DataFrame:
     total = targets.select(*RECORD).distinct().agg(F.count(F.lit(1)).alias("total"))
-    created = new_records.agg(F.count(F.lit(1)).alias("created"))
-    return created.crossJoin(total).select("created", (F.col("total") - F.col("created")).alias("existing"), "total")
+    created = new_records.agg(F.count(F.lit(1)))
+    return total.withColumn("created", created.scalar()).withColumn("existing", F.col("total") - F.col("created"))
 
 
 def matching(tasks: DataFrame, **wanted) -> DataFrame:
@@ -70,8 +69,8 @@ def matching(tasks: DataFrame, **wanted) -> DataFrame:
 def coverage(tasks: DataFrame) -> DataFrame:
     """Tasks by source type and status, with the number of distinct firms in all."""
     by_pair = tasks.groupBy("source_type", "status").agg(F.count(F.lit(1)).alias("n"))
-    firms = tasks.agg(F.count_distinct("firm_id").alias("target_count"))
-    return by_pair.crossJoin(F.broadcast(firms))
+    firms = tasks.agg(F.count_distinct("firm_id"))
+    return by_pair.withColumn("target_count", firms.scalar())
 
 
 def task_states(log: DataFrame, key: str, status: str, ts: str, tie: str) -> DataFrame:

@@ -143,17 +143,17 @@ def row_uniqueness(df: DataFrame) -> DataFrame:
 def quality_score(profile: DataFrame, uniqueness: DataFrame) -> DataFrame:
     """0-100 score from cell completeness, row uniqueness and column means."""
     cells, rows, columns, distinct = fv.QUALITY_WEIGHTS
-    means = profile.agg(
-        F.sum("total_rows").alias("_cells"), F.sum("null_count").alias("_nulls"),
-        F.avg("completeness_pct").alias("_complete"), F.avg("distinctiveness_pct").alias("_distinct"),
-    )
-    null_pct = F.coalesce(F.round(F.try_divide(F.col("_nulls"), F.col("_cells")) * 100, 2), F.lit(0.0))
+    means = profile.agg(F.struct(
+        F.coalesce(F.round(F.try_divide(F.sum("null_count"), F.sum("total_rows")) * 100, 2), F.lit(0.0)).alias("null_pct"),
+        F.coalesce(F.avg("completeness_pct"), F.lit(0.0)).alias("complete"),
+        F.coalesce(F.avg("distinctiveness_pct"), F.lit(0.0)).alias("distinct"),
+    ))
     unique_pct = F.coalesce(F.try_divide(F.col("distinct_rows"), F.col("total_rows")) * 100, F.lit(0.0))
-    return means.crossJoin(uniqueness).select(
+    return uniqueness.withColumn("_m", means.scalar()).select(
         "total_rows", "distinct_rows", "duplicate_groups",
         F.round(
-            (100 - null_pct) * cells + unique_pct * rows
-            + F.coalesce("_complete", F.lit(0.0)) * columns + F.coalesce("_distinct", F.lit(0.0)) * distinct,
+            (100 - F.col("_m.null_pct")) * cells + unique_pct * rows
+            + F.col("_m.complete") * columns + F.col("_m.distinct") * distinct,
             2,
         ).alias("quality_score"),
     )
@@ -161,11 +161,9 @@ def quality_score(profile: DataFrame, uniqueness: DataFrame) -> DataFrame:
 
 def rule_report(profile: DataFrame, score: DataFrame) -> DataFrame:
     """Three rules and a status that depends on the score only."""
-    nulls_ok = profile.agg(
-        F.coalesce(F.min("completeness_pct") >= fv.MIN_COLUMN_COMPLETENESS, F.lit(True)).alias("null_threshold")
-    )
-    report = nulls_ok.crossJoin(score).select(
-        "null_threshold",
+    nulls_ok = profile.agg(F.coalesce(F.min("completeness_pct") >= fv.MIN_COLUMN_COMPLETENESS, F.lit(True)))
+    report = score.select(
+        nulls_ok.scalar().alias("null_threshold"),
         (F.col("quality_score") >= fv.MIN_QUALITY_SCORE).alias("quality_score_rule"),
         (F.col("total_rows") > 0).alias("data_presence"),
     )

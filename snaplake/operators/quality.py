@@ -88,7 +88,7 @@ def reconcile(raw: DataFrame, typed: DataFrame, by: Sequence[str] = ()) -> DataF
     """Raw against typed row counts, per version when ``by`` names it."""
     a = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("raw_rows"))
     b = typed.groupBy(*by).agg(F.count(F.lit(1)).alias("typed_rows"))
-    both = a.join(b, list(by), "full") if by else a.crossJoin(b)
+    both = a.join(b, list(by), "full") if by else a.withColumn("typed_rows", b.scalar())
     return both.select(
         *by,
         F.coalesce("raw_rows", F.lit(0)).alias("raw_rows"),
@@ -105,8 +105,8 @@ def row_drops(counts: DataFrame, expected: str, actual: str, share: float = fv.R
 
 def schema_alarms(missing: DataFrame, extra: DataFrame, table: str) -> DataFrame:
     """One alarm row when a source lacks or adds columns; no row otherwise."""
-    counted = missing.agg(F.count(F.lit(1)).alias("missing_columns")).crossJoin(
-        extra.agg(F.count(F.lit(1)).alias("extra_columns"))
+    counted = missing.agg(F.count(F.lit(1)).alias("missing_columns")).withColumn(
+        "extra_columns", extra.agg(F.count(F.lit(1))).scalar()
     )
     return counted.filter("missing_columns > 0 OR extra_columns > 0").select(
         F.lit("SCHEMA_DRIFT").alias("alarm"), F.lit(table).alias("table_name"), "missing_columns", "extra_columns"

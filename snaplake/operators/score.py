@@ -99,7 +99,7 @@ def score_distribution(df: DataFrame, score: str) -> DataFrame:
         F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std_dev"),
         F.min(score).alias("min"), F.max(score).alias("max"),
     )
-    return moments.crossJoin(exact_median(df, score))
+    return moments.withColumn("median", exact_median(df, score).scalar())
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

@@ -90,9 +90,8 @@ def search(df: DataFrame, text: str | None, columns: Sequence[str] = ("name", "f
 
 
 def newest_version_rows(df: DataFrame, published: DataFrame) -> DataFrame:
-    """Rows of the newest published version; the one-row side prunes partitions."""
-    newest = published.agg(F.max_by(VERSION, "published_at").alias(VERSION))
-    return df.join(F.broadcast(newest), VERSION, "left_semi")
+    """Rows of the newest published version; the scalar prunes partitions at run time."""
+    return df.filter(F.col(VERSION) == published.agg(F.max_by(VERSION, "published_at")).scalar())
 
 
 def with_details(firms: DataFrame, scores: DataFrame, *others: DataFrame) -> DataFrame:
@@ -117,7 +116,7 @@ def page_total(df: DataFrame, size: int = 25) -> DataFrame:
 
 def page_with_total(df: DataFrame, sort: str, number: int = 1, size: int = 25) -> DataFrame:
     """A page with the count of all matching rows beside each of its rows."""
-    return page(df, sort, number, size).crossJoin(df.agg(F.count(F.lit(1)).alias("total_count")))
+    return page(df, sort, number, size).withColumn("total_count", df.agg(F.count(F.lit(1))).scalar())
 
 
 def latest_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

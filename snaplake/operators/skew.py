@@ -35,11 +35,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .filter(present & (F.col("_n") * HOT_SHARE > F.col("_total")))
-        .select(*keys)
-    )
+    return counts.filter(present & (F.col("_n") * HOT_SHARE > total.scalar())).select(*keys)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -74,10 +70,13 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     spread = F.col("_is_hot").isNotNull()
     for k in keys:
         spread = spread | F.col(k).isNull()
+    # Zero for every key, but not a literal: the optimizer would drop a constant
+    # from the join keys, and hot rows would stay together.
+    level = F.pmod(F.hash(*keys), F.lit(1))
     tagged = rows.join(F.broadcast(hot_side), keys, "left").withColumn(
-        "_salt", F.when(spread, 1 + F.spark_partition_id() % 1024).otherwise(0)
+        "_salt", F.when(spread, 1 + F.spark_partition_id() % 1024).otherwise(level)
     )
-    joined = tagged.join(facts.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").withColumn(
+    joined = tagged.join(facts.withColumn("_salt", level), [*keys, "_salt"], "left").withColumn(
         "_facts", F.coalesce("_hot_facts", "_facts")
     )
     found = F.col("_facts._found").isNotNull()
@@ -162,7 +161,7 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
 def with_neighbour(
     df: DataFrame,
     partition: Sequence[str],
-    order: Sequence[str],
+    order: tuple[str, str],
     value: Column,
     out: str,
     ahead: bool = False,
@@ -179,36 +178,33 @@ def with_neighbour(
     share of the rows.  There are at most ``buckets * (buckets + 1)`` ranges.
     """
     ts, tie = order
-    partition = list(partition)
-    base = df.withColumn("_value", F.struct(value.alias("v"))).withColumn(
-        "_ts", micros(F.col(ts)).cast("double")
-    ).withColumn("_tie", F.col(tie).cast("double"))
+    # A struct key is never NULL, so rows with a NULL key form a group too and
+    # the join below keeps the partitioning and the sort of the window.
+    base = df.withColumns({
+        "_key": F.struct(*(partition or [F.lit(0).alias("all")])),
+        "_value": F.struct(value.alias("v")),
+        "_ts": micros(F.col(ts)).cast("double"),
+        "_tie": F.col(tie).cast("double"),
+    })
     ts_bounds, tie_bounds = _bounds(base.select("_ts", "_tie"), ["_ts", "_tie"], buckets)
     cut = _bucketed(_bucketed(base, "_ts", ts_bounds, "_range"), "_tie", tie_bounds, "_tie_range")
     on_bound = F.col("_ts").isin(*ts_bounds) if ts_bounds else F.lit(False)
-    cut = cut.withColumn("_part", F.when(on_bound, F.col("_tie_range")).otherwise(F.lit(1e9)))
-    spots = [*partition, "_range", "_part"]
-
-    forward = [F.col(ts), F.col(tie)]
-    backward = [F.col(ts).desc(), F.col(tie).desc()]
-    inner = W.partitionBy(*spots).orderBy(*(backward if ahead else forward))
-    within = cut.withColumn("_near", F.lag("_value").over(inner))
-
-    edge_pick = F.min_by if ahead else F.max_by
-    edges = cut.groupBy(*spots).agg(edge_pick("_value", F.struct("_ts", "_tie")).alias("_edge"))
-    steps = [F.col("_range"), F.col("_part")]
+    cut = cut.withColumns({
+        "_range": F.coalesce(F.col("_range").cast("int"), F.lit(-1)),
+        "_part": F.when(on_bound, F.col("_tie_range").cast("int")).otherwise(F.lit(buckets + 1)),
+    })
+    spots = ["_key", "_range", "_part"]
+
+    steps = [F.col(ts), F.col(tie)]
+    hops = [F.col("_range"), F.col("_part")]
     if ahead:
-        steps = [c.desc() for c in steps]
-    # One row per (partition, range): bounded by the number of ranges.
-    outer = W.partitionBy(*(partition or [F.lit(1)])).orderBy(*steps)
-    carried = edges.withColumn("_far", F.lag("_edge").over(outer)).drop("_edge")
-
-    joined = within.alias("w").join(
-        carried.alias("c"), [F.col(f"w.{c}").eqNullSafe(F.col(f"c.{c}")) for c in spots], "left"
-    )
-    return joined.select(
-        *[F.col(f"w.{c}") for c in df.columns], F.coalesce("w._near", "c._far")["v"].alias(out)
-    )
+        steps, hops = [c.desc() for c in steps], [c.desc() for c in hops]
+    within = cut.withColumn("_near", F.lag("_value").over(W.partitionBy(*spots).orderBy(*steps)))
+    edge = F.min_by if ahead else F.max_by
+    edges = cut.groupBy(*spots).agg(edge("_value", F.struct("_ts", "_tie")).alias("_edge"))
+    # One row per (key, range): bounded by the number of ranges.
+    carried = edges.withColumn("_far", F.lag("_edge").over(W.partitionBy("_key").orderBy(*hops))).drop("_edge")
+    return within.join(carried, spots, "left").select(*df.columns, F.coalesce("_near", "_far")["v"].alias(out))
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

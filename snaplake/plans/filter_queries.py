@@ -8,7 +8,6 @@ from snaplake.functions.typing import iso_timestamp
 from snaplake.operators import enrich, events, quality, rollup, serve
 from snaplake.plans.inputs import NEW, ctes, frame, table
 from snaplake.plans.registry import query
-from snaplake.sources import dimensions
 
 
 def _in(words) -> str:
@@ -222,11 +221,11 @@ _HELD = f"dataset_version = '{NEW}' AND source_type < 'iapd'"
 def _seeded(spark, d):
     scored = frame(spark, d, "scored_both")
     all_tasks = enrich.source_tasks(
-        enrich.selected_targets(scored, ("PRIORITY_A", "PRIORITY_B")), dimensions.core_sources(spark)
+        enrich.selected_targets(scored, ("PRIORITY_A", "PRIORITY_B"))
     )
     records = frame(spark, d, "research").select("firm_id", "dataset_version", "research_status")
     held = all_tasks.filter(_HELD)
-    return scored, records, held, enrich.seed(scored, records, held, dimensions.core_sources(spark))
+    return scored, records, held, enrich.seed(scored, records, held)
 
 
 @query("seed_tasks", ctes("scored_both") + f"SELECT * FROM ({_TASKS_SQL}) WHERE NOT ({_HELD})")
@@ -253,8 +252,9 @@ def seed_counts(spark, d):
 @query("seed_idempotent", "SELECT CAST(0 AS BIGINT) AS new_records, CAST(0 AS BIGINT) AS new_tasks")
 def seed_idempotent(spark, d):
     scored, records, held, (new_records, new_tasks) = _seeded(spark, d)
-    again = enrich.seed(scored, records.unionByName(new_records), held.unionByName(new_tasks), dimensions.core_sources(spark))
-    return again[0].agg(F.count(F.lit(1)).alias("new_records")).crossJoin(again[1].agg(F.count(F.lit(1)).alias("new_tasks")))
+    again = enrich.seed(scored, records.unionByName(new_records), held.unionByName(new_tasks))
+    new_tasks = again[1].agg(F.count(F.lit(1)))
+    return again[0].agg(F.count(F.lit(1)).alias("new_records")).withColumn("new_tasks", new_tasks.scalar())
 
 
 _TASK_STATUS = "CASE WHEN length(firm_id) > 3 THEN 'ACCEPTED' ELSE 'FAILED' END"
@@ -265,7 +265,7 @@ SELECT source_type, {_TASK_STATUS} AS status, count(*) AS n,
     (SELECT count(DISTINCT firm_id) FROM ({_TASKS_SQL})) AS target_count FROM ({_TASKS_SQL}) GROUP BY ALL""")
 def coverage(spark, d):
     tasks = enrich.source_tasks(
-        enrich.selected_targets(frame(spark, d, "scored_both"), ("PRIORITY_A", "PRIORITY_B")), dimensions.core_sources(spark)
+        enrich.selected_targets(frame(spark, d, "scored_both"), ("PRIORITY_A", "PRIORITY_B"))
     )
     return enrich.coverage(tasks.withColumn("status", F.expr(_TASK_STATUS)))
 
