@@ -39,3 +39,8 @@ def absolute_link(href: Column, page_url: Column) -> Column:
 def source_address(source_type: Column, website: Column, taxonomy_url: Column) -> Column:
     """The firm's own site for the own-site type, the taxonomy address otherwise."""
     return F.when(source_type == fv.OWN_SITE_TYPE, F.nullif(website, F.lit(""))).otherwise(taxonomy_url)
+
+
+def unique_in_order(items: Column) -> Column:
+    """Each item of a list once, where it first stood."""
+    return F.array_distinct(items)

@@ -85,6 +85,11 @@ def build_scores(df: DataFrame) -> DataFrame:
     return scored
 
 
+def category_rows(df: DataFrame, key: str, scores: str) -> DataFrame:
+    """A map of category scores per firm as (key, category, score) rows."""
+    return df.select(key, F.explode(scores).alias("category", "score"))
+
+
 def weighted_score(scores: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """Weighted mean over the categories a key has, from a long (key, category, score) table."""
     return (

@@ -26,6 +26,8 @@ BROADCAST_ROWS = 300_000
 # Values one rank bucket should hold; a bucket is sorted inside one task.
 BUCKET_VALUES = 250_000
 MAX_BUCKETS = 10_000
+# Time ranges that neighbours are looked up in, at the least.
+MIN_RANGES = 64
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,7 +56,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     """
     keys = list(keys)
     if is_small(lookup):
-        return rows.join(F.broadcast(lookup), keys, how)
+        payload = [c for c in lookup.columns if c not in keys] if how in ("left", "inner") else []
+        return rows.join(F.broadcast(lookup), keys, how).select(*rows.columns, *payload)
     return spread_join(rows, lookup, keys, how)
 
 
@@ -165,7 +168,7 @@ def with_neighbour(
     value: Column,
     out: str,
     ahead: bool = False,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``lag(value)`` (or ``lead``) over a timestamp and an id, in two levels.
 
@@ -175,9 +178,11 @@ def with_neighbour(
     rows look inside their range first, and only each range's edge row looks
     at the edge of the nearest non-empty range.  A timestamp that sits on a
     range bound gets ranges of its own, cut by id, so one instant may hold any
-    share of the rows.  There are at most ``buckets * (buckets + 1)`` ranges.
+    share of the rows.  There are at most ``buckets * (buckets + 1)`` ranges;
+    ``buckets`` follows the number of shuffle partitions.
     """
     ts, tie = order
+    buckets = buckets or max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # A struct key is never NULL, so rows with a NULL key form a group too and
     # the join below keeps the partitioning and the sort of the window.
     base = df.withColumns({

@@ -65,9 +65,31 @@ def degenerate_test(spark, d):
     return score.degenerate(_scored(spark, d)).withColumn("stddev", F.round("stddev", 6))
 
 
-@query("pca_score")
+_FEATURES = ("score_aum", "score_growth", "score_risk")
+
+
+def _times_matrix(row: str) -> str:
+    return " + ".join(f"c{row}{j} * v{j}" for j in range(3))
+
+
+# The first principal component by power iteration on the covariance matrix.
+_PCA = ctes("part_scores").replace("WITH ", "WITH RECURSIVE ", 1) + _COMPONENTS + ", m AS (SELECT " + ", ".join(
+    f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(_FEATURES) for j, b in enumerate(_FEATURES)
+) + f""" FROM parts),
+step AS (SELECT 0 AS i, 1.0::DOUBLE AS v0, 0.9::DOUBLE AS v1, 0.8::DOUBLE AS v2
+    UNION ALL SELECT i + 1, w0 / len, w1 / len, w2 / len FROM (
+        SELECT i, w0, w1, w2, sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS len FROM (
+            SELECT i, {', '.join(f"{_times_matrix(str(r))} AS w{r}" for r in range(3))} FROM step, m WHERE i < 400))),
+last_step AS (SELECT *, CASE WHEN greatest(abs(v0), abs(v1), abs(v2)) IN (v0, v1, v2) THEN 1 ELSE -1 END AS sign FROM step WHERE i = 400),
+projected AS (SELECT firm_id, round((score_aum * v0 + score_growth * v1 + score_risk * v2) * sign, 9) AS x FROM parts, last_step)
+"""
+
+
+@query("pca_score", _PCA + f"SELECT firm_id, round({_TIES.format(x='x')}, 9) AS acquisition_score FROM projected")
 def pca_score(spark, d):
-    return score.pca_score(score.with_components(materialise(frame(spark, d, "part_scores")))).select("firm_id", "acquisition_score")
+    return score.pca_score(score.with_components(materialise(frame(spark, d, "part_scores")))).select(
+        "firm_id", F.round("acquisition_score", 9).alias("acquisition_score")
+    )
 
 
 _WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in fv.CATEGORY_WEIGHTS)
@@ -81,6 +103,19 @@ def weighted_score(spark, d):
     return scored.withColumn("weighted_score", F.round("weighted_score", 6))
 
 
+@query("weighted_score_from_map", ctes("category_scores") + f"""
+SELECT o_custkey, round(sum(score * w) / sum(w), 6) AS weighted_score
+FROM category_scores JOIN (VALUES {_WEIGHTS}) t(category, w) USING (category) GROUP BY 1""")
+def weighted_score_from_map(spark, d):
+    # A firm has seven categories at most, so its map is small.
+    maps = frame(spark, d, "category_scores").groupBy("o_custkey").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("scores")
+    )
+    rows = score.category_rows(maps, "o_custkey", "scores")
+    scored = score.weighted_score(rows, dimensions.category_weights(spark), "o_custkey")
+    return scored.withColumn("weighted_score", F.round("weighted_score", 6))
+
+
 _RATIO_SQL = """SELECT *, discretionary_aum / total_aum AS discretionary_share, individual_hnw_client_aum / total_aum AS individual_hnw_share,
     hnw_client_aum / total_aum AS hnw_share, total_aum / total_account_count AS average_account_size,
     discretionary_account_count / total_account_count AS discretionary_account_share FROM scored_both"""

@@ -7,11 +7,13 @@ shared folder, reads it again and returns what was read.
 from pyspark.sql import functions as F
 
 from snaplake.functions.keys import date_key
-from snaplake.operators import enrich
+from snaplake.functions.text import unique_in_order
+from snaplake.operators import enrich, serve
+from snaplake.operators.events import change_events
 from snaplake.plans.inputs import NEW, OLD, ctes, frame, table
 from snaplake.plans.registry import query
 from snaplake.plans.typing_queries import _FIRM_SQL, _office_sql, _snapshot
-from snaplake.session import scratch_path
+from snaplake.session import materialise, scratch_path
 from snaplake.sinks import tables
 from snaplake.sources import files, snapshots
 from snaplake.streaming.arrivals import load_arrivals
@@ -204,3 +206,44 @@ def arrivals(spark, d):
         # The second pass takes the new files only.
         load_arrivals(spark, f"{root}/in/*", ["c_custkey", "c_name"], f"{root}/table", f"{root}/progress")
     return spark.read.parquet(f"{root}/table")
+
+
+@query("publish_tables", ctes("ranked") + """
+SELECT firm_id, dataset_version, acquisition_score, priority_category, 'NOT_RESEARCHED' AS status FROM ranked""")
+def publish_tables(spark, d):
+    root = scratch_path(spark, "serving")
+    # Scored firms are stored before they are published.
+    made = serve.serving_tables(
+        materialise(frame(spark, d, "ranked")), frame(spark, d, "offices"), "ACQUISITION_V1", F.lit("2001-08-15 12:00:00").cast("timestamp")
+    )
+    people = {"outreach_targets": made.pop("outreach_targets")}
+    for _ in range(2):
+        tables.publish(made, people, root)
+    key = ["firm_id", "dataset_version"]
+    scores = spark.read.parquet(f"{root}/firm_scores").select(*key, "acquisition_score", "priority_category")
+    return scores.join(spark.read.parquet(f"{root}/outreach_targets"), key)
+
+
+@query("change_event_export", ctes("scored_old", "scored_new") + f"""
+SELECT firm_id, '{NEW}' AS dataset_version FROM scored_old WHERE firm_id NOT IN (SELECT firm_id FROM scored_new)""")
+def change_event_export(spark, d):
+    path = scratch_path(spark, "events")
+    found = change_events(frame(spark, d, "scored_old"), frame(spark, d, "scored_new"))
+    tables.replace_version(found.withColumn("dataset_version", F.lit(NEW)), path, fmt="json")
+    return spark.read.schema("firm_id string, event_type string, dataset_version string").json(path).filter(
+        "event_type = 'REMOVED_FIRM'"
+    ).select("firm_id", "dataset_version")
+
+
+@query("column_sample", "SELECT least(100, count(text)) AS n, true AS filled FROM documents")
+def column_sample(spark, d):
+    # Which rows come is not defined; how many, and that none is NULL, is.
+    sample = snapshots.column_sample(table(spark, d, "documents"), "text")
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("value").isNotNull()).alias("filled"))
+
+
+@query("unique_words", """
+SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS INTEGER) AS words, string_split(text, ' ')[1] AS first_word FROM documents""")
+def unique_words(spark, d):
+    words = unique_in_order(F.split("text", " ", -1))
+    return table(spark, d, "documents").select("doc_id", F.size(words).alias("words"), words[0].alias("first_word"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from snaplake.functions.typing import nan_to_null
@@ -58,6 +58,41 @@ def append_entities(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy(VERSION).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str) -> None:
+    """A catalog table bucketed and sorted by key.
+
+    Snapshots saved with the same keys and bucket number are compared and
+    joined on the key without moving a row.
+    """
+    (
+        df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+        .format("parquet").saveAsTable(table)
+    )
+
+
+def publish(replaced: Mapping[str, DataFrame], kept: Mapping[str, DataFrame], root: str) -> dict[str, int]:
+    """Write serving tables; returns the rows written to each.
+
+    Tables in ``replaced`` overwrite their versions.  Tables in ``kept`` hold
+    what people edit: only firms that are not there yet are added.
+    """
+    counts = {name: replace_version(df, f"{root}/{name}") for name, df in replaced.items()}
+    for name, df in kept.items():
+        path, spark = f"{root}/{name}", df.sparkSession
+        fresh = df
+        if _exists(spark, path):
+            fresh = absent_rows(spark.read.schema(df.schema).parquet(path), df, ["firm_id", VERSION])
+        seen = Observation()
+        fresh.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(VERSION).parquet(path)
+        counts[name] = seen.get["rows"]
+    return counts
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def upserted(
     old: DataFrame,
     new: DataFrame,
