@@ -95,7 +95,7 @@ def judged_observations(observations: DataFrame) -> DataFrame:
 def misplaced_observations(observations: DataFrame, sources: DataFrame) -> DataFrame:
     """Observations whose source does not belong to the same firm and version."""
     keys = ["source_id", *RECORD]
-    return lookup_join(observations, sources.select(*keys).distinct(), keys, "left_anti")
+    return lookup_join(observations, sources, keys, "left_anti")
 
 
 def supported_fields(sources: DataFrame, column: str = "field_supported") -> DataFrame:

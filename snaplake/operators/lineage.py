@@ -28,7 +28,7 @@ def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> Da
     edges = versions.filter(F.col(parent).isNotNull()).select(
         F.col(key).alias("descendant"), F.col(parent).alias("ancestor")
     )
-    known = versions.select(F.col(key).alias("ancestor")).distinct()
+    known = versions.select(F.col(key).alias("ancestor"))
     # A pointer to a version that does not exist leads nowhere.
     jump = materialise(lookup_join(edges, known, ["ancestor"], "left_semi"))
     pairs = [jump.withColumn("distance", F.lit(1).cast("bigint"))]
@@ -76,7 +76,7 @@ def lineage_of(pairs: DataFrame, version: Column) -> DataFrame:
 
 def broken_links(versions: DataFrame, key: str, links: dict[str, str]) -> DataFrame:
     """(id, link, target) for each link whose target version does not exist."""
-    known = versions.select(F.col(key).alias("target")).distinct()
+    known = versions.select(F.col(key).alias("target"))
     rows = F.array(*[
         F.struct(F.lit(label).alias("link"), F.col(c).alias("target")) for c, label in links.items()
     ])

@@ -56,8 +56,7 @@ def _count_check(bad: DataFrame, check: str, entity: str, metric: str, severity:
 
 def broken_references(child: DataFrame, parent: DataFrame, foreign_key: str, key: str) -> DataFrame:
     """Child rows whose parent does not exist (a NULL reference has none)."""
-    parents = parent.select(F.col(key).alias(foreign_key)).distinct()
-    return lookup_join(child, parents, [foreign_key], "left_anti")
+    return lookup_join(child, parent.select(F.col(key).alias(foreign_key)), [foreign_key], "left_anti")
 
 
 def broken_reference_counts(child: DataFrame, parent: DataFrame, foreign_key: str, key: str) -> DataFrame:

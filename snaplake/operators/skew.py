@@ -45,29 +45,44 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Many-to-one equi-join to a lookup with one row per key.
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
+    small: bool | None = None, hot: DataFrame | None = None,
+) -> DataFrame:
+    """Many-to-one equi-join; ``how`` is left, inner, left_semi or left_anti.
 
-    A lookup that was counted and found small is broadcast: no row moves.
-    Otherwise hot keys meet their at most HOT_SHARE lookup rows in a broadcast.  In the
-    shuffle join that serves the other keys, hot rows and rows with a NULL key
-    are spread by their input partition, so no task gets a hot group.
-    ``how`` is left, inner, left_semi or left_anti.
+    For left and inner the lookup has one row per key; for the other two it
+    may repeat keys.  A lookup that was counted and found small is broadcast:
+    no row moves.  A larger one takes ``spread_join``.  Callers that know the
+    size or the hot keys already pass them.
     """
     keys = list(keys)
-    if is_small(lookup):
-        payload = [c for c in lookup.columns if c not in keys] if how in ("left", "inner") else []
+    keep = how in ("left", "inner")
+    payload = [c for c in lookup.columns if c not in keys] if keep else []
+    lookup = lookup.select(*keys, *payload)
+    if is_small(lookup) if small is None else small:
         return rows.join(F.broadcast(lookup), keys, how).select(*rows.columns, *payload)
-    return spread_join(rows, lookup, keys, how)
+    return spread_join(rows, lookup, keys, how, hot)
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """``lookup_join`` beyond the broadcast size."""
-    payload = [c for c in lookup.columns if c not in keys]
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str, hot: DataFrame | None = None
+) -> DataFrame:
+    """``lookup_join`` beyond the broadcast size.
+
+    Hot keys meet their at most HOT_SHARE lookup rows in a broadcast.  In the
+    shuffle join that serves the other keys, hot rows and rows with a NULL key
+    are spread by their input partition, so no task gets a hot group.
+    """
+    keys = list(keys)
     keep = how in ("left", "inner")
-    facts = lookup.select(*keys, F.struct(*(payload if keep else []), F.lit(True).alias("_found")).alias("_facts"))
-    hot = hot_keys(rows, keys)
-    hot_facts = facts.join(F.broadcast(hot), keys, "left_semi").withColumnRenamed("_facts", "_hot_facts")
+    payload = [c for c in lookup.columns if c not in keys] if keep else []
+    hot = hot_keys(rows, keys) if hot is None else hot
+    found = F.struct(*payload, F.lit(True).alias("_found"))
+
+    # One row per hot key, with its lookup row if there is one.
+    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi").dropDuplicates(keys)
+    hot_facts = hot_lookup.select(*keys, found.alias("_hot_facts"))
     hot_side = hot.join(F.broadcast(hot_facts), keys, "left").withColumn("_is_hot", F.lit(True))
 
     spread = F.col("_is_hot").isNotNull()
@@ -79,18 +94,19 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     tagged = rows.join(F.broadcast(hot_side), keys, "left").withColumn(
         "_salt", F.when(spread, 1 + F.spark_partition_id() % 1024).otherwise(level)
     )
-    joined = tagged.join(facts.withColumn("_salt", level), [*keys, "_salt"], "left").withColumn(
-        "_facts", F.coalesce("_hot_facts", "_facts")
-    )
-    found = F.col("_facts._found").isNotNull()
-    if how in ("inner", "left_semi"):
-        joined = joined.filter(found)
-    elif how == "left_anti":
-        joined = joined.filter(~found)
-    out = [F.col(c) for c in rows.columns]
-    if keep:
-        out += [F.col(f"_facts.{c}").alias(c) for c in payload]
-    return joined.select(*out)
+    by = [*keys, "_salt"]
+    if not keep:
+        # Repeated keys are combined map-side, so the lookup has no hot key either.
+        lookup = lookup.select(*keys).distinct()
+    if how == "left_anti":
+        # Spread rows match nothing here, so those of a found hot key leave before.
+        kept = tagged.filter(F.col("_hot_facts").isNull()).join(lookup.withColumn("_salt", level), by, "left_anti")
+        return kept.select(*rows.columns)
+    facts = lookup.select(*keys, found.alias("_cold_facts")).withColumn("_salt", level)
+    joined = tagged.join(facts, by, "left").withColumn("_facts", F.coalesce("_hot_facts", "_cold_facts"))
+    if how != "left":
+        joined = joined.filter(F.col("_facts").isNotNull())
+    return joined.select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in payload])
 
 
 def _bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
@@ -108,14 +124,15 @@ def _bucketed(df: DataFrame, column: str, bounds: Sequence[float], out: str) ->
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def value_positions(df: DataFrame, value: str) -> DataFrame:
+def value_positions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame, int]:
     """Distinct values with their count, the rows below them and all rows.
 
-    Output: value, n, below, total.  ``df`` is read once.  Rows are counted per value first, so a
-    hot value is one row.  The counts are written once; quantiles of the
-    *distinct* values then cut them into even ranges, a running sum runs
-    inside each range, and the at most MAX_BUCKETS range totals are summed in
-    front of it.  No task ever sorts all values.
+    Returns (positions, counts, number of distinct values); positions has the
+    columns value, n, below and total.  ``df`` is read once: rows are counted
+    per value, so a hot value is one row, and the counts are written.
+    Quantiles of the *distinct* values then cut them into even ranges, a
+    running sum runs inside each range, and the at most MAX_BUCKETS range
+    totals are summed in front of it.  No task ever sorts all values.
     """
     counts = materialise(
         df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
@@ -124,6 +141,7 @@ def value_positions(df: DataFrame, value: str) -> DataFrame:
     buckets = min(MAX_BUCKETS, math.ceil(distinct / BUCKET_VALUES))
     (bounds,) = _bounds(counts, [value], buckets)
     ranged = _bucketed(counts.withColumn("_v", F.col(value).cast("double")), "_v", bounds, "_bucket")
+    # One row per range: at most MAX_BUCKETS.
     offsets = (
         ranged.groupBy("_bucket")
         .agg(F.sum("n").alias("_n"))
@@ -132,23 +150,23 @@ def value_positions(df: DataFrame, value: str) -> DataFrame:
         .drop("_n")
     )
     inside = F.sum("n").over(W.partitionBy("_bucket").orderBy(value)) - F.col("n")
-    return (
-        ranged.join(F.broadcast(offsets), "_bucket")
-        .select(value, "n", (F.col("_before") + inside).alias("below"), "total")
+    positions = ranged.join(F.broadcast(offsets), "_bucket").select(
+        value, "n", (F.col("_before") + inside).alias("below"), "total"
     )
+    return positions, counts, distinct
 
 
 def with_tie_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percentile rank with ties averaged; NULL values get NULL."""
-    ranks = value_positions(df, value).select(
-        value, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(out)
-    )
-    return lookup_join(df, ranks, [value])
+    positions, counts, distinct = value_positions(df, value)
+    ranks = positions.select(value, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
+    hot = counts.filter(F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar()).select(value)
+    return lookup_join(df, ranks, [value], small=distinct <= BROADCAST_ROWS, hot=hot)
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row with the exact median, by position rather than by one big sort."""
-    p = value_positions(df, value)
+    p, _, _ = value_positions(df, value)
     last = F.col("below") + F.col("n")
     lower = F.floor((F.col("total") - 1) / 2)
     upper = F.floor(F.col("total") / 2)
