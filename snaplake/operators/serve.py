@@ -268,11 +268,15 @@ def dossier_lines(
             return F.array(F.lit(fv.DRAFT_NOTICE), F.lit("")) if draft else F.array().cast("array<string>")
         return F.array(_rendered(line, fields))
 
-    def fixed(section: int, template: str) -> DataFrame:
-        return facts.select(
-            *FIRM_VERSION, F.lit(section).cast("bigint").alias("section"),
-            F.posexplode(F.concat(*[block(line) for line in template.split("\n")[:-1]])).alias("line_no", "line"),
-        ).withColumn("line_no", F.col("line_no").cast("bigint"))
+    def numbered(section: int, template: str) -> Column:
+        lines = F.concat(*[block(line) for line in template.splitlines()])
+        return F.transform(lines, lambda line, i: F.struct(
+            F.lit(section).cast("bigint").alias("section"), i.cast("bigint").alias("line_no"), line.alias("line")
+        ))
+
+    fixed = facts.select(
+        *FIRM_VERSION, F.inline(F.concat(numbered(1, fv.DOSSIER_TEMPLATE), numbered(3, fv.DOSSIER_TAIL)))
+    )
 
     title = F.coalesce(F.nullif("source_title", F.lit("")), F.nullif("source_url", F.lit("")), F.col("source_type"))
     source_line = F.concat(
@@ -286,7 +290,4 @@ def dossier_lines(
     unlisted = facts.select(*FIRM_VERSION).join(
         sources.select(*FIRM_VERSION).distinct(), FIRM_VERSION, "left_anti"
     ).select(*FIRM_VERSION, second, F.lit(0).cast("bigint").alias("line_no"), F.lit(fv.DOSSIER_NO_SOURCES).alias("line"))
-    return reduce(
-        DataFrame.unionByName,
-        [fixed(1, fv.DOSSIER_TEMPLATE), listed, unlisted, fixed(3, fv.DOSSIER_TAIL)],
-    )
+    return reduce(DataFrame.unionByName, [fixed, listed, unlisted])

@@ -1,7 +1,10 @@
 """Rollups, pages, serving tables, dossiers and lineage."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from snaplake import fixed_values as fv
 from snaplake.operators import lineage, profile, rollup, serve
 from snaplake.plans.inputs import NEW, ctes, frame, table
 from snaplake.plans.registry import query
@@ -311,43 +314,66 @@ def firm_detail(spark, d):
 
 
 
-@query("dossier", ctes("ranked", "research", "sources") + """
-, facts AS (SELECT f.firm_id, f.dataset_version, f.name, f.organization_type, f.employee_count, f.advisory_employee_count,
-    f.priority_category, r.research_status, r.founder_name FROM ranked f JOIN research r USING (firm_id, dataset_version))
-SELECT firm_id, dataset_version, CAST(1 AS BIGINT) AS section, CAST(0 AS BIGINT) AS line_no, '# Target Dossier — ' || name AS line FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 3, '- Firm ID: `' || firm_id || '`' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 11, '- **Priority:** ' || priority_category FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 12, '- **Research status:** ' || research_status FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 15, '## 2. Why We Should Care' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 18, '- A' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 19, '- B' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 30, '- Organization type: ' || coalesce(organization_type, 'Unknown') FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 35, '- Staffing: ' || employee_count || ' employees; ' || advisory_employee_count || ' advisory employees' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 1, 45, '- Founder: ' || coalesce(founder_name, 'Unknown') FROM facts
+_SCORED_FIELDS = {
+    "firm_id", "dataset_version", "name", "total_aum", "discretionary_aum", "total_account_count", "discretionary_account_count",
+    "employee_count", "advisory_employee_count", "has_item_11_disclosure", "provides_financial_planning",
+    "advises_individuals_or_small_businesses", "organization_type", "organization_state", "priority_category", "acquisition_score",
+}
+_RESEARCH_FIELDS = {"research_status", "founder_name", "estimated_revenue"}
+
+
+def _dossier_line(line: str) -> str:
+    """A template line as SQL text, written apart from the operator's own rendering."""
+    def cash(x: str) -> str:
+        return (f"CASE WHEN {x} IS NULL THEN 'Unknown' WHEN abs({x}) >= 1000000 THEN printf('$%.1fM', {x} / 1000000) "
+                f"ELSE '$' || format('{{:,.0f}}', {x}) END")
+
+    def shown(hit: re.Match) -> str:
+        kind, name, default = hit.group(1), hit.group(2), hit.group(3) or "Unknown"
+        side, known = ("r", _RESEARCH_FIELDS) if kind in ("r", "rcash") else ("f", _SCORED_FIELDS)
+        if kind == "house":
+            x = "'We'"
+        elif kind == "generated_at":
+            x = "'2001-08-15T12:00:00Z'"
+        elif kind == "share":
+            x = "coalesce(printf('%.1f%%', f.discretionary_aum / f.total_aum * 100), 'Unknown')"
+        elif name not in known:
+            x = f"'{default}'"
+        elif kind in ("cash", "rcash"):
+            x = cash(f"{side}.{name}")
+        else:
+            x = f"coalesce(nullif(CAST({side}.{name} AS VARCHAR), ''), '{default}')"
+        return f"' || {x} || '"
+
+    return "'" + re.sub(r"\{(\w+)(?::(\w+))?(?:\|([^}]*))?\}", shown, line) + "'"
+
+
+def _dossier_block(line: str) -> str:
+    if line == "{codes}":
+        return "['- A', '- B']"
+    if line == "{draft}":
+        return f"['{fv.DRAFT_NOTICE}', '']"
+    return f"[{_dossier_line(line)}]"
+
+
+def _dossier_part(section: int, template: str) -> str:
+    lines = " || ".join(_dossier_block(line) for line in template.splitlines())
+    return f"""SELECT firm_id, dataset_version, CAST({section} AS BIGINT) AS section, unnest(range(len(lines))) AS line_no, unnest(lines) AS line
+    FROM (SELECT f.firm_id, f.dataset_version, {lines} AS lines FROM ranked f JOIN research r USING (firm_id, dataset_version))"""
+
+
+@query("dossier", ctes("ranked", "research", "sources") + f"""
+{_dossier_part(1, fv.DOSSIER_TEMPLATE)}
 UNION ALL SELECT firm_id, dataset_version, 2, source_id, '- [' || coalesce(source_title, source_url, source_type) || '](' || coalesce(source_url, '')
     || ') — supports `' || field_supported || '`; accessed ' || coalesce(accessed_at, 'unknown') || '.'
-    FROM sources SEMI JOIN facts USING (firm_id, dataset_version)
-UNION ALL SELECT firm_id, dataset_version, 2, 0, '- No sources recorded.' FROM facts ANTI JOIN sources USING (firm_id, dataset_version)
-UNION ALL SELECT firm_id, dataset_version, 3, 1, '### Data classification' FROM facts
-UNION ALL SELECT firm_id, dataset_version, 3, 3, '- SEC-derived facts are labeled as structured facts.' FROM facts""")
+    FROM sources SEMI JOIN research USING (firm_id, dataset_version) SEMI JOIN ranked USING (firm_id, dataset_version)
+UNION ALL SELECT firm_id, dataset_version, 2, 0, '- No sources recorded.' FROM ranked SEMI JOIN research USING (firm_id, dataset_version)
+    ANTI JOIN sources USING (firm_id, dataset_version)
+UNION ALL {_dossier_part(3, fv.DOSSIER_TAIL)}""")
 def dossier(spark, d):
-    lines = serve.dossier_lines(
-        frame(spark, d, "ranked").withColumn("reason_codes", F.lit('["A","B"]')), frame(spark, d, "research"),
-        frame(spark, d, "sources"), "2001-08-15T12:00:00Z",
-    )
-    # Lines with printed amounts round halves differently in the two engines; the tests check those.
-    shown = {1: (0, 3, 11, 12, 15, 18, 19, 30, 35, 45), 3: (1, 3)}
-    return lines.filter(
-        (F.col("section") == 2)
-        | ((F.col("section") == 1) & F.col("line_no").isin(*shown[1]))
-        | ((F.col("section") == 3) & F.col("line_no").isin(*shown[3]))
-    )
-
-
-@query("dossier_all_lines")
-def dossier_all_lines(spark, d):
     return serve.dossier_lines(
-        frame(spark, d, "ranked"), frame(spark, d, "research"), frame(spark, d, "sources"), "2001-08-15T12:00:00Z", draft=True
+        frame(spark, d, "ranked").withColumn("reason_codes", F.lit('["A","B"]')), frame(spark, d, "research"),
+        frame(spark, d, "sources"), "2001-08-15T12:00:00Z", draft=True,
     )
 
 
