@@ -30,13 +30,13 @@ MAX_BUCKETS = 10_000
 MIN_RANGES = 64
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: Sequence[str], with_null: bool = False) -> DataFrame:
     """At most HOT_SHARE keys, found by a count that is combined map-side."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     present = F.lit(True)
     for k in keys:
-        present = present & F.col(k).isNotNull()
+        present = present & (F.lit(with_null) | F.col(k).isNotNull())
     return counts.filter(present & (F.col("_n") * HOT_SHARE > total.scalar())).select(*keys)
 
 
@@ -188,46 +188,67 @@ def with_neighbour(
     ahead: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
-    """``lag(value)`` (or ``lead``) over a timestamp and an id, in two levels.
+    """``lag(value)`` (or ``lead``) over a timestamp and an id.
 
     ``order`` is (timestamp column, numeric id column), unique together.  A
-    plain window would sort all rows of a hot key (or of the whole table when
-    ``partition`` is empty) in one task.  Here the order is cut into ranges;
-    rows look inside their range first, and only each range's edge row looks
-    at the edge of the nearest non-empty range.  A timestamp that sits on a
-    range bound gets ranges of its own, cut by id, so one instant may hold any
-    share of the rows.  There are at most ``buckets * (buckets + 1)`` ranges;
-    ``buckets`` follows the number of shuffle partitions.
+    table counted and found small takes a plain window.  Beyond that, a window
+    would sort all rows of a hot key (or of the whole table when ``partition``
+    is empty) in one task, so ``ranged_neighbour`` cuts the order into ranges.
+    """
+    if buckets is None:
+        if is_small(df.select(*order)):
+            forward = W.partitionBy(*(partition or [F.lit(1)])).orderBy(*order)
+            return df.withColumn(out, (F.lead if ahead else F.lag)(value).over(forward))
+        buckets = max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return ranged_neighbour(df, partition, order, value, out, ahead, buckets)
+
+
+def ranged_neighbour(
+    df: DataFrame, partition: Sequence[str], order: tuple[str, str], value: Column, out: str, ahead: bool, buckets: int
+) -> DataFrame:
+    """``with_neighbour`` beyond the small size.
+
+    Only hot keys (at most HOT_SHARE) are cut, into time ranges; a timestamp
+    that sits on a range bound gets ranges of its own, cut by id, so an instant
+    may hold any share of the rows.  The value at the edge of each (hot key,
+    range) is found first, edges look at the nearest edge before them, and each
+    range gets one extra row in front that carries what it found.  One window
+    over (key, range) then serves hot and other keys alike: rows move once.
+    There are at most ``buckets * (buckets + 1)`` ranges per hot key.
     """
     ts, tie = order
-    buckets = buckets or max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # A struct key is never NULL, so rows with a NULL key form a group too and
-    # the join below keeps the partitioning and the sort of the window.
-    base = df.withColumns({
-        "_key": F.struct(*(partition or [F.lit(0).alias("all")])),
-        "_value": F.struct(value.alias("v")),
-        "_ts": micros(F.col(ts)).cast("double"),
-        "_tie": F.col(tie).cast("double"),
+    partition = list(partition)
+    if partition:
+        hot = hot_keys(df, partition, with_null=True).select(*[F.col(k).alias(f"_hot_{k}") for k in partition])
+        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in partition]
+        marked = df.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), same, "left").drop(*hot.columns)
+    else:
+        marked = df.withColumn("_is_hot", F.lit(True))
+    timed = marked.withColumns({
+        "_ts": micros(F.col(ts)).cast("double"), "_tie": F.col(tie).cast("double"), "_value": F.struct(value.alias("v")),
     })
-    ts_bounds, tie_bounds = _bounds(base.select("_ts", "_tie"), ["_ts", "_tie"], buckets)
-    cut = _bucketed(_bucketed(base, "_ts", ts_bounds, "_range"), "_tie", tie_bounds, "_tie_range")
+    is_hot = F.col("_is_hot").isNotNull()
+    ts_bounds, tie_bounds = _bounds(timed.filter(is_hot).select("_ts", "_tie"), ["_ts", "_tie"], buckets)
+    cut = _bucketed(_bucketed(timed, "_ts", ts_bounds, "_range"), "_tie", tie_bounds, "_tie_range")
     on_bound = F.col("_ts").isin(*ts_bounds) if ts_bounds else F.lit(False)
     cut = cut.withColumns({
-        "_range": F.coalesce(F.col("_range").cast("int"), F.lit(-1)),
-        "_part": F.when(on_bound, F.col("_tie_range").cast("int")).otherwise(F.lit(buckets + 1)),
+        "_range": F.when(is_hot, F.coalesce(F.col("_range").cast("int"), F.lit(-1))).otherwise(F.lit(-2)),
+        "_part": F.when(is_hot & on_bound, F.col("_tie_range").cast("int")).otherwise(F.lit(buckets + 1)),
     })
-    spots = ["_key", "_range", "_part"]
+    spots = [*partition, "_range", "_part"]
 
-    steps = [F.col(ts), F.col(tie)]
-    hops = [F.col("_range"), F.col("_part")]
+    steps, hops = [F.col("_ts"), F.col("_tie")], [F.col("_range"), F.col("_part")]
     if ahead:
         steps, hops = [c.desc() for c in steps], [c.desc() for c in hops]
-    within = cut.withColumn("_near", F.lag("_value").over(W.partitionBy(*spots).orderBy(*steps)))
-    edge = F.min_by if ahead else F.max_by
-    edges = cut.groupBy(*spots).agg(edge("_value", F.struct("_ts", "_tie")).alias("_edge"))
-    # One row per (key, range): bounded by the number of ranges.
-    carried = edges.withColumn("_far", F.lag("_edge").over(W.partitionBy("_key").orderBy(*hops))).drop("_edge")
-    return within.join(carried, spots, "left").select(*df.columns, F.coalesce("_near", "_far")["v"].alias(out))
+    pick = F.min_by if ahead else F.max_by
+    edges = cut.filter(is_hot).groupBy(*spots).agg(pick("_value", F.struct("_ts", "_tie")).alias("_edge"))
+    # One row per (hot key, range).
+    far = F.lag("_edge").over(W.partitionBy(*(partition or [F.lit(1)])).orderBy(*hops))
+    in_front = edges.select(*spots, far.alias("_value")).filter(F.col("_value").isNotNull()).withColumn("_first", F.lit(0))
+    rows = cut.select(*df.columns, "_ts", "_tie", "_value", "_range", "_part", F.lit(1).alias("_first"))
+    rows = rows.unionByName(in_front, allowMissingColumns=True)
+    near = F.lag("_value").over(W.partitionBy(*spots).orderBy("_first", *steps))
+    return rows.withColumn("_near", near).filter(F.col("_first") == 1).select(*df.columns, F.col("_near.v").alias(out))
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
