@@ -74,37 +74,41 @@ def roster(e) -> str:
 
 
 def _scored(side: str, version: str) -> str:
+    """Firms from the orders of a period; orders are reduced to one row per firm before they meet customers."""
     money = "CAST(o_totalprice AS DECIMAL(18,2))"
 
     def amount(which: str) -> str:
         return f"CAST(sum(CASE WHEN {which} THEN {money} END) * 20 AS DOUBLE)"
 
     return f"""
-    SELECT CAST(o_custkey AS STRING) AS firm_id, '{version}' AS dataset_version, max(c_name) AS name,
-        {amount("true")} AS total_aum,
-        {amount("o_orderpriority <> '5-LOW'")} AS discretionary_aum,
-        {amount("o_orderpriority < '4'")} AS individual_hnw_client_aum,
-        {amount("o_orderpriority < '3'")} AS hnw_client_aum,
-        count(*) * 90 AS total_account_count,
-        count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) * 90 AS discretionary_account_count,
-        count(*) AS employee_count,
-        count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS advisory_employee_count,
-        max(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) = 1 AS has_item_11_disclosure,
-        count(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 END) > 1 AS has_control_complexity,
-        count(CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 END) > 0 AS provides_financial_planning,
-        CASE WHEN max(c_mktsegment) <> 'BUILDING' THEN max(c_mktsegment) < 'H' END AS advises_individuals_or_small_businesses,
-        right(max(concat(CAST(CAST(o_orderdate AS DATE) AS STRING), lpad(CAST(o_orderkey AS STRING), 20, '0'), o_orderstatus)), 1)
-            AS registration_status,
-        CASE WHEN max(c_mktsegment) <> 'MACHINERY' THEN max(o_orderpriority) END AS organization_type,
-        'S' || CAST(max(c_nationkey) AS STRING) AS organization_state,
-        CASE WHEN max(c_mktsegment) <> 'FURNITURE' THEN 'https://' || lower(max(c_mktsegment)) || '.example.com' END
-            AS website_address,
-        CASE WHEN sum({money}) BETWEEN 1000000 AND 5000000 AND count(*) > 5 THEN 'PRIORITY_A'
-             WHEN sum({money}) BETWEEN 1000000 AND 5000000 THEN 'PRIORITY_B'
-             WHEN sum({money}) >= 500000 THEN 'PRIORITY_C' ELSE 'EXCLUDED' END AS priority_category
-    FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey
-    WHERE o_orderdate {side} TIMESTAMP '{CUTOFF} 00:00:00'
-    GROUP BY o_custkey"""
+    SELECT CAST(o_custkey AS STRING) AS firm_id, '{version}' AS dataset_version, c_name AS name,
+        total_aum, discretionary_aum, individual_hnw_client_aum, hnw_client_aum, total_account_count, discretionary_account_count,
+        employee_count, advisory_employee_count, urgent_pending > 0 AS has_item_11_disclosure,
+        high_count > 1 AS has_control_complexity, medium_count > 0 AS provides_financial_planning,
+        CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment < 'H' END AS advises_individuals_or_small_businesses,
+        right(last_order, 1) AS registration_status,
+        CASE WHEN c_mktsegment <> 'MACHINERY' THEN last_priority END AS organization_type,
+        'S' || CAST(c_nationkey AS STRING) AS organization_state,
+        CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'https://' || lower(c_mktsegment) || '.example.com' END AS website_address,
+        CASE WHEN total_aum BETWEEN 20000000 AND 100000000 AND employee_count > 5 THEN 'PRIORITY_A'
+             WHEN total_aum BETWEEN 20000000 AND 100000000 THEN 'PRIORITY_B'
+             WHEN total_aum >= 10000000 THEN 'PRIORITY_C' ELSE 'EXCLUDED' END AS priority_category
+    FROM (SELECT o_custkey,
+            {amount("true")} AS total_aum,
+            {amount("o_orderpriority <> '5-LOW'")} AS discretionary_aum,
+            {amount("o_orderpriority < '4'")} AS individual_hnw_client_aum,
+            {amount("o_orderpriority < '3'")} AS hnw_client_aum,
+            count(*) * 90 AS total_account_count,
+            count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) * 90 AS discretionary_account_count,
+            count(*) AS employee_count,
+            count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) AS advisory_employee_count,
+            count(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 1 END) AS urgent_pending,
+            count(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 END) AS high_count,
+            count(CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 END) AS medium_count,
+            max(concat(CAST(CAST(o_orderdate AS DATE) AS STRING), lpad(CAST(o_orderkey AS STRING), 20, '0'), o_orderstatus)) AS last_order,
+            max(o_orderpriority) AS last_priority
+        FROM {{orders}} WHERE o_orderdate {side} TIMESTAMP '{CUTOFF} 00:00:00' GROUP BY o_custkey) o
+    JOIN {{customer}} ON c_custkey = o_custkey"""
 
 
 def scored_old(e) -> str:
