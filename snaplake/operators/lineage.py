@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.operators.skew import lookup_join, with_neighbour
-from snaplake.session import materialise
+from snaplake.operators.skew import BROADCAST_ROWS, lookup_join, with_neighbour
+from snaplake.session import materialise_counted
 
 MAX_ROUNDS = 40
 
@@ -30,30 +30,30 @@ def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> Da
     )
     known = versions.select(F.col(key).alias("ancestor"))
     # A pointer to a version that does not exist leads nowhere.
-    jump = materialise(lookup_join(edges, known, ["ancestor"], "left_semi"))
-    pairs = [jump.withColumn("distance", F.lit(1).cast("bigint"))]
-    reach = 1
+    # Pairs outgrow the input, so they are spread evenly before the rounds begin.
+    parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jump, found = materialise_counted(
+        lookup_join(edges, known, ["ancestor"], "left_semi").repartition(parts, "descendant"), jumps=F.count(F.lit(1))
+    )
+    pairs = jump.withColumn("distance", F.lit(1).cast("bigint"))
+    jumps, reach = found["jumps"], 1
     for _ in range(MAX_ROUNDS):
+        if not jumps:
+            return pairs
+        # Pairs up to ``reach`` and pointers of exactly ``reach`` give pairs up to twice that.
         hop = jump.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("_next"))
-        known_pairs = pairs[0]
-        for p in pairs[1:]:
-            known_pairs = known_pairs.unionByName(p)
-        longer = materialise(
-            lookup_join(known_pairs, hop, ["ancestor"], "inner").select(
+        longer, found = materialise_counted(
+            lookup_join(pairs, hop, ["ancestor"], "inner", small=jumps <= BROADCAST_ROWS).select(
                 "descendant", F.col("_next").alias("ancestor"), (F.col("distance") + reach).alias("distance")
-            )
+            ),
+            jumps=F.count_if(F.col("distance") == 2 * reach),
+            loops=F.count_if(F.col("descendant") == F.col("ancestor")),
         )
-        found = longer.agg(
-            F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("descendant") == F.col("ancestor")).alias("loops")
-        ).first()
+        reach *= 2
         if found["loops"]:
             raise ValueError("a version is its own ancestor")
-        if not found["pairs"]:
-            return known_pairs
-        pairs.append(longer)
-        # The pairs at exactly twice the reach are the next round's pointers.
-        reach *= 2
-        jump = longer.filter(F.col("distance") == reach).select("descendant", "ancestor")
+        pairs = pairs.unionByName(longer)
+        jump, jumps = longer.filter(F.col("distance") == reach).select("descendant", "ancestor"), found["jumps"]
     raise ValueError(f"a chain is longer than 2**{MAX_ROUNDS} versions")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snaplake.functions.keys import micros
-from snaplake.session import materialise
+from snaplake.session import materialise_counted
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
 # never more than HOT_SHARE hot keys: that bounds what lookup_join broadcasts.
@@ -134,10 +134,10 @@ def value_positions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame, in
     running sum runs inside each range, and the at most MAX_BUCKETS range
     totals are summed in front of it.  No task ever sorts all values.
     """
-    counts = materialise(
-        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    counts, seen = materialise_counted(
+        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), distinct=F.count(F.lit(1))
     )
-    distinct = counts.count()
+    distinct = seen["distinct"]
     buckets = min(MAX_BUCKETS, math.ceil(distinct / BUCKET_VALUES))
     (bounds,) = _bounds(counts, [value], buckets)
     ranged = _bucketed(counts.withColumn("_v", F.col(value).cast("double")), "_v", bounds, "_bucket")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "snaplake", cpus: str = "*") -> SparkSession:
@@ -55,3 +55,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise`` with aggregates that are taken while the rows are written."""
+    seen = Observation()
+    kept = materialise(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return kept, seen.get
