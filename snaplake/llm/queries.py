@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, simhash
-from snaplake.llm.common import table
+from snaplake.llm import bpe, html_blocks, language, line_quality, simhash, toxicity
+from snaplake.llm.common import bucket_of, table
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these methods can be written in SQL; tests compare them with brute force.
@@ -33,6 +33,43 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; those of the held-out fold were not learned from."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.detect(docs, language.fit(docs, held_out=2, folds=4))
+    return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = line_quality.score(docs, line_quality.fit(docs, table(spark, sf_dir, "labels"), held_out=1, folds=3))
+    return found.select(
+        "doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines",
+    )
+
+
+@query
+def op8_toxic_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=2, folds=4))
+    return found.select(
+        "doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst",
+    )
+
+
 @query
 def op9_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
