@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from snaplake.llm.common import per_batch, texts_of
 
@@ -220,8 +221,8 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, token_ids): ids of every text, packed as little-endian 32-bit numbers.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``token_ids``: ids of every text, packed as little-endian 32-bit numbers.
 
     The vocabulary is read once on the driver and broadcast; its size is that of
     the rank file, whatever the number of documents.
@@ -233,15 +234,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = pa.array([codec.encode(t) for t in texts_of(batch)], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "token_ids"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], [*keep, "token_ids"])
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build, "doc_id long, token_ids binary")
+    return per_batch(docs.select(*keep, "text"), build, StructType([*docs.select(*keep).schema, StructField("token_ids", BinaryType())]))
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, token_ids, decoded): adds the bytes that packed ids stand for; null ids stand for none."""
+    """Adds ``decoded``, the bytes that packed ids stand for; null ids stand for none."""
     shared = tokens.sparkSession.sparkContext.broadcast({r: t for t, r in read_ranks(ranks_path).items()})
 
     def build():
@@ -253,4 +254,12 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
 
         return step
 
-    return per_batch(tokens.select("doc_id", "token_ids"), build, "doc_id long, token_ids binary, decoded binary")
+    return per_batch(tokens, build, StructType([*tokens.schema, StructField("decoded", BinaryType())]))
+
+
+def digests(tokens: DataFrame, *keep: str) -> DataFrame:
+    """Number of ids and lower-case hexadecimal digests of the ids and the decoded bytes."""
+    return tokens.select(
+        *keep, (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

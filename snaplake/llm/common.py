@@ -25,7 +25,7 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
-def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """Run a batch function over ``df``; ``build`` makes it once per task, so that it may keep caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +38,18 @@ def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.R
     return with_package(df).mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` that a batch function says to keep, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = build()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(batch), pa.bool_()))
+
+    return with_package(df).mapInArrow(run, df.schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null counts as empty."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import bucket_of, per_batch, texts_of
+from snaplake.llm.common import bucket_of, kept_rows, per_batch, texts_of
 
-BUCKETS = 8192
+UNKNOWN, BUCKETS = "und", 8192
 #: Labelled rows per language that the trigram counts are taken from.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE, SHARES = 1536, 32
 #: Trigrams overlap, so a likelihood counts every letter about three times.
 OVERLAP = 3.0
 PENALTY = 4.0
@@ -80,10 +80,12 @@ def fit(docs: DataFrame, held_out: int = 2, folds: int = 4) -> tuple[list[str],
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
         & (bucket_of("doc_id", folds) != held_out)
     )
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A language is drawn from in shares, so that a frequent one is not ranked in one task.
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))
+    place = Window.partitionBy("lang", "share").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        usable.select("doc_id", "lang").withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= ROWS_PER_LANGUAGE).select("doc_id", "lang").distinct()
+        usable.select("doc_id", "lang", share.alias("share")).withColumn("place", F.row_number().over(place))
+        .where(F.col("place") <= ROWS_PER_LANGUAGE // SHARES).select("doc_id", "lang").distinct()
     )
 
     def build():
@@ -148,26 +150,28 @@ def mixtures(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     return best
 
 
+def judge(texts: list[str], names: list[str], theta: np.ndarray) -> tuple[list[str], list[float], list[list[str]]]:
+    """Leading language, its proportion, and the chosen set of languages of every text."""
+    pred, score, sets = [], [], []
+    for a, b in portions(texts):
+        counts = count_matrix(texts[a:b])
+        known = counts.any(axis=1) if names else np.zeros(b - a, bool)
+        shares = mixtures(counts, theta) if names else np.zeros((b - a, 1))
+        for ok, row in zip(known, shares):
+            top = int(row.argmax())
+            pred.append(names[top] if ok else UNKNOWN)
+            score.append(min(1.0, float(row[top])) if ok else 0.0)
+            sets.append([names[i] for i in np.flatnonzero(row > 0)] if ok else [])
+    return pred, score, sets
+
+
 def detect(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score, languages): the leading language, its proportion, and all of the chosen set."""
-    langs, table = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
 
     def build():
-        names, theta = shared.value
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch)
-            pred, score, sets = [], [], []
-            for a, b in portions(texts):
-                counts = count_matrix(texts[a:b])
-                known = counts.any(axis=1) if names else np.zeros(b - a, bool)
-                shares = mixtures(counts, theta) if names else np.zeros((b - a, 1))
-                for ok, row in zip(known, shares):
-                    top = int(row.argmax())
-                    pred.append(names[top] if ok else "und")
-                    score.append(min(1.0, float(row[top])) if ok else 0.0)
-                    sets.append([names[i] for i in np.flatnonzero(row > 0)] if ok else [])
+            pred, score, sets = judge(texts_of(batch), *shared.value)
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))],
                 ["doc_id", "lang_pred", "score", "languages"],
@@ -177,3 +181,17 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return per_batch(picked, build, "doc_id long, lang_pred string, score double, languages array<string>")
+
+
+def recognised_rows(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """The documents with a known language that makes up at least ``least`` of them, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+
+    def build():
+        def keep(batch: pa.RecordBatch) -> list[bool]:
+            pred, score, _ = judge(texts_of(batch), *shared.value)
+            return [p != UNKNOWN and s >= least for p, s in zip(pred, score)]
+
+        return keep
+
+    return kept_rows(docs, build)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import bucket_of, labelled_sample, per_batch, texts_of
+from snaplake.llm.common import bucket_of, kept_rows, labelled_sample, per_batch, texts_of
 
 #: Labelled documents that are looked at, and the most lines of one that is learned from.
 ROWS, LINES = 4000, 400
@@ -187,24 +187,27 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -
     return train(np.concatenate(x).astype(float), np.array([len(a) for a in x]), rows["label"].to_numpy().astype(int))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score, n_lines, bad_lines): quality, lines, and how many of them are rather bad."""
+def judge(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quality, lines, and rather bad lines of every text."""
     weights, moves = model
+    x, n, size = features(texts)
+    p, _, _ = marginals(x @ weights, n, moves)
+    starts, length = np.cumsum(n) - n, np.maximum(size, 1).astype(float)
+    quality = np.add.reduceat(p * length, starts) / np.add.reduceat(length, starts)
+    return np.clip(quality, 0.0, 1.0), n.astype(np.int64), np.add.reduceat((p < 0.5).astype(np.int64), starts)
 
-    def build():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, n, size = features(texts_of(batch))
-            p, _, _ = marginals(x @ weights, n, moves)
-            starts = np.cumsum(n) - n
-            length = np.maximum(size, 1).astype(float)
-            quality = np.add.reduceat(p * length, starts) / np.add.reduceat(length, starts)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.clip(quality, 0.0, 1.0)), pa.array(n.astype(np.int64)),
-                 pa.array(np.add.reduceat((p < 0.5).astype(np.int64), starts))],
-                ["doc_id", "score", "n_lines", "bad_lines"],
-            )
 
-        return step
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, score, n_lines, bad_lines): quality, lines, and how many of them are rather bad."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = judge(texts_of(batch), model)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], ["doc_id", "score", "n_lines", "bad_lines"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return per_batch(picked, build, "doc_id long, score double, n_lines long, bad_lines long")
+    return per_batch(picked, lambda: step, "doc_id long, score double, n_lines long, bad_lines long")
+
+
+def good_rows(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+    """The documents whose quality is at least ``least``, with all their columns."""
+    return kept_rows(docs, lambda: lambda batch: judge(texts_of(batch), model)[0] >= least)

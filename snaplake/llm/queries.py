@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, html_blocks, language, line_quality, simhash, toxicity
+from snaplake.llm import adaptive_scan, bpe, cross_entropy, html_blocks, language, line_quality, simhash, tiling, toxicity
 from snaplake.llm.common import bucket_of, table
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +26,8 @@ def query(build):
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe.decode(ids, RANKS).select(
-        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS), "doc_id")
 
 
 @query
@@ -48,6 +45,18 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages")
 
 
+@query
+def op5_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
@@ -75,3 +84,10 @@ def op9_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more every document is like those labelled good than like the whole corpus."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good)

@@ -212,5 +212,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, segment_bits
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def unique_rows(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """One document of each near-duplicate class, with all its columns: the one with the smallest id.
+
+    Documents without an id come after all others; those with equal texts count as one.
+    """
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    keyed = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("__text", F.xxhash64("text"))
+    classes = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), words, bits)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row", "__text"]).select(*docs.columns)
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
