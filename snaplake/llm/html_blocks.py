@@ -150,6 +150,9 @@ MARKED_BLOCKS = """
 2 1 40 0 35 0 0 0 1
 3 0.8 25 0 60 0 0 0 1
 1 1 90 0 3 1 0 0 1
+2 1 2 0 0 0 0 0 0
+3 1 5 0 0 0 0 0 0
+2 1 4 0 3 0 0 0 0
 """
 MARKED = np.array([[float(x) for x in line.split()] for line in MARKED_BLOCKS.strip().splitlines()])
 

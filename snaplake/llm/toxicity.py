@@ -143,14 +143,19 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 def distinct_bags(bags: list[list[str]]) -> list[list[str]]:
     """Bags without near copies of earlier ones, whose every word would look like the cause of a label.
 
-    The longest words of a document are nearly its own, so copies share them.
+    The longest words of a document are nearly its own, so copies share them; a
+    bag is compared with the latest that share one of these.
     """
-    seen, kept = set(), []
+    by_word: dict[str, list[set[str]]] = {}
+    kept = []
     for bag in bags:
-        longest = sorted(bag, key=lambda w: (-len(w), w))[:5]
-        if bag and sum(w in seen for w in longest) < (len(longest) + 1) // 2:
+        own = set(bag)
+        longest = sorted(own, key=lambda w: (-len(w), w))[:5]
+        near = (other for w in longest for other in by_word.get(w, ())[-20:])
+        if own and not any(2 * len(own & other) > len(own | other) for other in near):
             kept.append(bag)
-            seen.update(longest)
+            for w in longest:
+                by_word.setdefault(w, []).append(own)
     return kept
 
 
@@ -177,6 +182,24 @@ def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     return np.bincount(word, weight * weights[slot], minlength=len(words)) + bias
 
 
+def shared_odds(names: list[str], counts: np.ndarray, toxic: int, clean: int):
+    """Mean log odds of the subsequences of every word, a portion of words at a time.
+
+    ``counts`` has the clean and toxic documents of each word.
+    """
+    seen = np.zeros((SLOTS, 2))
+    portions = [slice(i, i + 8000) for i in range(0, len(names), 8000)]
+    for part in portions:
+        word, slot, _ = subsequences(names[part])
+        for side in (0, 1):
+            seen[:, side] += np.bincount(slot, counts[part][word, side], minlength=SLOTS)
+    odds = np.log((seen[:, 1] + 0.5) / (toxic + 1)) - np.log((seen[:, 0] + 0.5) / (clean + 1))
+    for part in portions:
+        word, slot, weight = subsequences(names[part])
+        n = len(names[part])
+        yield np.bincount(word, weight * odds[slot], minlength=n) / np.maximum(np.bincount(word, weight, minlength=n), 1e-9)
+
+
 def train(toxic: list[list[str]], clean: list[list[str]]) -> tuple[np.ndarray, float, float, float]:
     """(weight per slot, bias, slope and offset of the logistic curve) from the distinct words of labelled documents."""
     every = toxic, clean
@@ -191,7 +214,8 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> tuple[np.ndarray, f
     odds = np.log((counts[:, 1] + 0.2) / (len(toxic) + 0.4)) - np.log((counts[:, 0] + 0.2) / (len(clean) + 0.4))
     number = {w: i for i, w in enumerate(names)}
     bags = [np.array(sorted({number[w] for w in bag})) for bag in toxic if bag]
-    value = odds
+    # To begin with, a word is as toxic as the documents that hold its subsequences, and a little as those that hold itself.
+    value = np.concatenate([*shared_odds(names, counts, len(toxic), len(clean))]) + 0.25 * odds if names else odds
     # Negative words: those of most clean documents, and then the ones the machine takes for toxic.
     common = np.argsort(-counts[:, 0], kind="stable")
     common = common[counts[common, 0] > 0]
@@ -221,7 +245,7 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> tuple[np.ndarray, f
         # The sum over landmarks as one weight per subsequence slot.
         word, slot, weight = subsequences(landmarks)
         weights = np.bincount(slot, weight * (map_ @ w)[word], minlength=SLOTS)
-        value = np.concatenate([margins(names[i : i + 20000], weights, bias) for i in range(0, len(names), 20000)])
+        value = np.concatenate([margins(names[i : i + 8000], weights, bias) for i in range(0, len(names), 8000)])
         wrong = np.flatnonzero((counts[:, 0] > 0) & (value > -0.5))
         negative = np.unique(np.r_[here, wrong[np.argsort(-value[wrong], kind="stable")][:NEGATIVES]])
     empty = float(margins([""], weights, bias)[0])
