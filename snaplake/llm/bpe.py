@@ -27,7 +27,7 @@ from snaplake.llm.common import per_batch, texts_of
 
 _NEVER = 1 << 40
 #: Entries a task remembers, and the longest stretch of text worth remembering.
-REMEMBERED, LONGEST, MOST_SEAMS = 500_000, 48, 2_000_000
+REMEMBERED, LONGEST, MOST_SEAMS = 300_000, 48, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

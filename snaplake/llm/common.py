@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a worker turns into Python objects together.
+ROWS_AT_ONCE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,27 +29,38 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Non-empty pieces of at most ``ROWS_AT_ONCE`` rows; a worker gives back what a batch took before it reads on."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(begin, ROWS_AT_ONCE)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
-    """Run a batch function over ``df``; ``build`` makes it once per task, so that it may keep caches."""
+    """Run a function over pieces of ``df``; ``build`` makes it once per task, so that it may keep caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
-        for batch in batches:
-            # An empty batch has nothing to say, and reductions over nothing are not defined.
-            if batch.num_rows:
-                yield step(batch)
+        for piece in _slices(batches):
+            yield step(piece)
 
     return with_package(df).mapInArrow(run, schema)
 
 
+def per_task(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """Run a function that sees all pieces of a task one after the other, and may sum them up."""
+    return with_package(df).mapInArrow(lambda batches: run(_slices(batches)), schema)
+
+
 def kept_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
-    """The rows of ``df`` that a batch function says to keep, unchanged."""
+    """The rows of ``df`` that a function says to keep, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = build()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(judge(batch), pa.bool_()))
+        for piece in _slices(batches):
+            yield piece.filter(pa.array(judge(piece), pa.bool_()))
 
     return with_package(df).mapInArrow(run, df.schema)
 

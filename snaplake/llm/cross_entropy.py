@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import per_batch, texts_of
+from snaplake.llm.common import per_batch, per_task, texts_of
 
 WORDS, SLOTS = 30_000, 1 << 21
+#: Words a task counts before it hands them on.
+HELD_WORDS = 400_000
 #: Weight of the word's own frequency against what follows its predecessor, and what every word counts beforehand.
 KAPPA, ALPHA = 20.0, 0.5
 
@@ -45,18 +47,24 @@ def words_of(text: str) -> list[str]:
 def vocabulary(docs: DataFrame, size: int = WORDS) -> list[str]:
     """The most frequent words of all documents; of equally frequent ones the first in order."""
 
-    def build():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: Counter[str] = Counter()
-            for t in texts_of(batch):
-                seen.update(words_of(t))
-            return pa.RecordBatch.from_arrays(
+    def run(pieces):
+        seen: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays(
                 [pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
             )
+            seen.clear()
+            return batch
 
-        return step
+        for piece in pieces:
+            for t in texts_of(piece):
+                seen.update(words_of(t))
+            if len(seen) > HELD_WORDS:
+                yield told()
+        yield told()
 
-    counts = per_batch(docs.select("text"), build, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = per_task(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
@@ -124,42 +132,29 @@ def count(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
     places = len(words) + 2
 
-    def build():
+    def run(pieces):
         number = shared.value
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            wanted = batch.column("target").to_pylist()
-            # Word numbers and slots are counted as one range, for all rows and for wanted rows.
-            total = np.zeros((places + SLOTS, 2), np.int64)
+        # Word numbers and slots are counted as one range, for wanted rows and for all rows.
+        total = np.zeros((2, places + SLOTS), np.int64)
+        for piece in pieces:
             held: list[list[np.ndarray]] = [[], []]
-            size = 0
-
-            def add() -> None:
-                for side, lists in enumerate(held):
-                    if lists:
-                        total[:, side] += np.bincount(np.concatenate(lists), minlength=len(total))
-                        lists.clear()
-
-            for text, ok in zip(texts_of(batch), wanted):
+            for text, ok in zip(texts_of(piece), piece.column("target").to_pylist()):
                 now = numbered(text, number)
                 if len(now):
                     own = np.concatenate([[0], now, places + slot_of(np.r_[0, now[:-1]], now)])
                     held[1].append(own)
                     if ok:
                         held[0].append(own)
-                    size += len(own)
-                if size > 2_000_000:
-                    add()
-                    size = 0
-            add()
-            at = np.flatnonzero(total[:, 1])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(total[at, 0]), pa.array(total[at, 1])], ["place", "target", "all"]
-            )
-
-        return step
-
-    rows = per_batch(docs.select("text", "target"), build, "place int, target long, all long")
+            for side, lists in enumerate(held):
+                if lists:
+                    at, n = np.unique(np.concatenate(lists), return_counts=True)
+                    total[side, at] += n
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["place", "target", "all"]
+        )
+
+    rows = per_task(docs.select("text", "target"), run, "place int, target long, all long")
     table = rows.groupBy("place").agg(F.sum("target").alias("target"), F.sum("all").alias("all")).toArrow()
     counts = np.zeros((places + SLOTS, 2))
     counts[table.column("place").to_numpy()] = np.stack([table.column(c).to_numpy() for c in ("target", "all")], axis=1)
