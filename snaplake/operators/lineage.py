@@ -2,38 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.operators.skew import BROADCAST_ROWS, lookup_join, with_neighbour
-from snaplake.session import materialise_counted
+from snaplake.operators.skew import lookup_join, with_neighbours
+from snaplake.session import materialise, materialise_counted
 
 MAX_ROUNDS = 40
 
 
 def version_links(versions: DataFrame, version: str, ts: str, tie: str) -> DataFrame:
     """Previous and next version of each one, in time order."""
-    linked = with_neighbour(versions, [], (ts, tie), F.col(version), "prev_version")
-    return with_neighbour(linked, [], (ts, tie), F.col(version), "next_version", ahead=True)
+    return with_neighbours(versions, [], (ts, tie), F.col(version), "prev_version", "next_version")
+
+
+def _existing_parents(versions: DataFrame, key: str, parent: str) -> DataFrame:
+    """(descendant, ancestor) of every pointer that does not lead to a version that does not exist."""
+    edges = versions.filter(F.col(parent).isNotNull()).select(F.col(key).alias("descendant"), F.col(parent).alias("ancestor"))
+    return lookup_join(edges, versions.select(F.col(key).alias("ancestor")), ["ancestor"], "left_semi")
+
+
+def lineage_of(versions: DataFrame, asked: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """(asked, id, distance) of every asked version, its ancestors (below zero) and descendants (above).
+
+    ``asked`` has one column with versions.  Only what is asked for is walked:
+    round k moves everything found so far by 2**k steps, up and down, along
+    pointers of that length.  There are as many pointers as versions in each
+    round and no pairs but those of the answer, so a chain of a million versions
+    takes 20 rounds and a million rows.
+    """
+    jump = materialise(_existing_parents(versions, key, parent))
+    start = asked.toDF("asked").distinct()
+    start = lookup_join(start.withColumn("_id", F.col("asked")), versions.select(F.col(key).alias("_id")), ["_id"], "left_semi")
+    found = [start.select("asked", F.col("_id").alias("id"), F.lit(0).cast("bigint").alias("distance"))]
+    up = down = materialise(found[0])
+    for k in range(MAX_ROUNDS):
+        step = F.lit(1 << k).cast("bigint")
+        higher, seen_up = materialise_counted(
+            up.join(jump, up["id"] == jump["descendant"]).select("asked", F.col("ancestor").alias("id"), (F.col("distance") - step).alias("distance")),
+            n=F.count(F.lit(1)), loops=F.count_if(F.col("asked") == F.col("id")),
+        )
+        lower, seen_down = materialise_counted(
+            down.join(jump, down["id"] == jump["ancestor"]).select("asked", F.col("descendant").alias("id"), (F.col("distance") + step).alias("distance")),
+            n=F.count(F.lit(1)), loops=F.count_if(F.col("asked") == F.col("id")),
+        )
+        if seen_up["loops"] or seen_down["loops"]:
+            raise ValueError("a version is its own ancestor")
+        if not seen_up["n"] and not seen_down["n"]:
+            return reduce(DataFrame.unionByName, found)
+        found += [higher, lower]
+        up, down = up.unionByName(higher), down.unionByName(lower)
+        far = jump.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("_next"))
+        jump = materialise(lookup_join(jump, far, ["ancestor"], "inner").select("descendant", F.col("_next").alias("ancestor")))
+    raise ValueError(f"a chain is longer than 2**{MAX_ROUNDS} versions")
 
 
 def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """Every (descendant, ancestor, distance) pair of a parent-pointer graph.
 
-    Pointers are doubled: after k rounds all pairs up to distance 2**k are
-    known, so a chain of a million versions takes 20 rounds.  Each round is
-    written to the shared folder, which keeps plans short and survives lost
-    executors.  A parent named by very many children is a hot lookup key.
+    This is all there is to say about a graph, for graphs that are small or
+    shallow: a chain of n versions has n (n - 1) / 2 pairs.  ``lineage_of``
+    answers about given versions without them.  Pointers are doubled: after k
+    rounds all pairs up to distance 2**k are known.  Each round is written to the
+    shared folder, which keeps plans short and survives lost executors.
     """
-    edges = versions.filter(F.col(parent).isNotNull()).select(
-        F.col(key).alias("descendant"), F.col(parent).alias("ancestor")
-    )
-    known = versions.select(F.col(key).alias("ancestor"))
-    # A pointer to a version that does not exist leads nowhere.
     # Pairs outgrow the input, so they are spread evenly before the rounds begin.
     parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     jump, found = materialise_counted(
-        lookup_join(edges, known, ["ancestor"], "left_semi").repartition(parts, "descendant"), jumps=F.count(F.lit(1))
+        _existing_parents(versions, key, parent).repartition(parts, "descendant"), jumps=F.count(F.lit(1))
     )
     pairs = jump.withColumn("distance", F.lit(1).cast("bigint"))
     jumps, reach = found["jumps"], 1
@@ -43,7 +81,7 @@ def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> Da
         # Pairs up to ``reach`` and pointers of exactly ``reach`` give pairs up to twice that.
         hop = jump.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("_next"))
         longer, found = materialise_counted(
-            lookup_join(pairs, hop, ["ancestor"], "inner", small=jumps <= BROADCAST_ROWS).select(
+            lookup_join(pairs, hop, ["ancestor"], "inner").select(
                 "descendant", F.col("_next").alias("ancestor"), (F.col("distance") + reach).alias("distance")
             ),
             jumps=F.count_if(F.col("distance") == 2 * reach),
@@ -57,23 +95,6 @@ def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> Da
     raise ValueError(f"a chain is longer than 2**{MAX_ROUNDS} versions")
 
 
-def ancestors_of(pairs: DataFrame, version: Column) -> DataFrame:
-    return pairs.filter(F.col("descendant") == version).select(F.col("ancestor").alias("id"), "distance")
-
-
-def descendants_of(pairs: DataFrame, version: Column) -> DataFrame:
-    return pairs.filter(F.col("ancestor") == version).select(F.col("descendant").alias("id"), "distance")
-
-
-def lineage_of(pairs: DataFrame, version: Column) -> DataFrame:
-    """Ancestors, the version itself and descendants, with a signed distance."""
-    itself = pairs.sparkSession.range(1).select(version.alias("id"), F.lit(0).cast("bigint").alias("distance"))
-    return (
-        ancestors_of(pairs, version).withColumn("distance", -F.col("distance"))
-        .unionByName(itself).unionByName(descendants_of(pairs, version))
-    )
-
-
 def broken_links(versions: DataFrame, key: str, links: dict[str, str]) -> DataFrame:
     """(id, link, target) for each link whose target version does not exist."""
     known = versions.select(F.col(key).alias("target"))

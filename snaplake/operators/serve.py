@@ -14,7 +14,7 @@ from snaplake.functions.keys import json_codes, pack_json, version_date
 from snaplake.functions.labels import UNKNOWN, money_label, percent_label, text_or
 from snaplake.functions.typing import lenient_flag
 from snaplake.operators.rollup import category_counts
-from snaplake.operators.skew import lookup_join, newest_per_key, with_neighbour
+from snaplake.operators.skew import lookup_join, newest_per_key, with_neighbours
 from snaplake.sources.snapshots import VERSION
 
 FIRM_VERSION = ["firm_id", VERSION]
@@ -91,7 +91,7 @@ def search(df: DataFrame, text: str | None, columns: Sequence[str] = ("name", "f
 
 def newest_version_rows(df: DataFrame, published: DataFrame) -> DataFrame:
     """Rows of the newest published version; the scalar prunes partitions at run time."""
-    return df.filter(F.col(VERSION) == published.agg(F.max_by(VERSION, "published_at")).scalar())
+    return df.filter(F.col(VERSION) == published.agg(F.max_by(VERSION, F.struct("published_at", VERSION))).scalar())
 
 
 def with_details(firms: DataFrame, scores: DataFrame, *others: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: str = VERSION) -
 
 def transitions(log: DataFrame, key: str, status: str, ts: str, tie: str) -> DataFrame:
     """Status changes only: the first status of a key and each one that differs from the one before."""
-    seen = with_neighbour(log, [key], (ts, tie), F.col(status), "from_status")
+    seen = with_neighbours(log, [key], (ts, tie), F.col(status), "from_status")
     return seen.filter(~F.col("from_status").eqNullSafe(F.col(status))).select(
         key, "from_status", F.col(status).alias("to_status"), F.col(ts).alias("changed_at"), tie
     )

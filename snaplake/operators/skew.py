@@ -14,99 +14,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snaplake.functions.keys import micros
-from snaplake.session import materialise_counted
+from snaplake.session import materialise, materialise_counted
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# never more than HOT_SHARE hot keys: that bounds what lookup_join broadcasts.
-HOT_SHARE = 1000
-# A lookup of at most this many rows is broadcast as it is; the row count is
-# checked before, and a larger lookup takes the shuffle join.
-BROADCAST_ROWS = 300_000
+# Rows of one key that a task of a join should get at most, and how many keys may have more.
+ROWS_PER_TASK = 1_000_000
+MOST_HOT = 100_000
 # Values one rank bucket should hold; a bucket is sorted inside one task.
 BUCKET_VALUES = 250_000
 MAX_BUCKETS = 10_000
-# Time ranges that neighbours are looked up in, at the least.
-MIN_RANGES = 64
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], with_null: bool = False) -> DataFrame:
-    """At most HOT_SHARE keys, found by a count that is combined map-side."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    present = F.lit(True)
-    for k in keys:
-        present = present & (F.lit(with_null) | F.col(k).isNotNull())
-    return counts.filter(present & (F.col("_n") * HOT_SHARE > total.scalar())).select(*keys)
+def hot_salts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(_hot, _salts): hash of each key with more than ``ROWS_PER_TASK`` rows, and over how many tasks to spread it.
 
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most that many rows; counting stops beyond them."""
-    return df.limit(rows + 1).count() <= rows
+    Rows are counted per key map-side first.  There are at most ``MOST_HOT``
+    rows of two numbers, whatever the table holds, so the result may be broadcast.
+    Keys beyond that are joined like the others, only not spread.
+    """
+    counts = rows.select(F.xxhash64(*keys).alias("_hot")).groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > ROWS_PER_TASK).orderBy(F.desc("_n"), "_hot").limit(MOST_HOT)
+    return hot.select("_hot", F.ceil(F.col("_n") / ROWS_PER_TASK).cast("int").alias("_salts"))
 
 
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-    small: bool | None = None, hot: DataFrame | None = None,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Many-to-one equi-join; ``how`` is left, inner, left_semi or left_anti.
 
     For left and inner the lookup has one row per key; for the other two it
-    may repeat keys.  A lookup that was counted and found small is broadcast:
-    no row moves.  A larger one takes ``spread_join``.  Callers that know the
-    size or the hot keys already pass them.
+    may repeat keys, which are combined map-side first.  The planner sizes the
+    join by bytes.  A key with more rows than a task should get is spread: its
+    lookup row is copied for each salt, and its rows are salted by a hash of
+    all their columns, which does not depend on where they lie and is the same
+    when a lost task is repeated.  Salts are part of the join keys, so a join
+    that shuffles shuffles anew, and equal rows of one key, which share a salt,
+    can still be split by adaptive execution if they come from several tasks.
     """
     keys = list(keys)
-    keep = how in ("left", "inner")
-    payload = [c for c in lookup.columns if c not in keys] if keep else []
+    payload = [c for c in lookup.columns if c not in keys] if how in ("left", "inner") else []
     lookup = lookup.select(*keys, *payload)
-    if is_small(lookup) if small is None else small:
-        return rows.join(F.broadcast(lookup), keys, how).select(*rows.columns, *payload)
-    return spread_join(rows, lookup, keys, how, hot)
-
-
-def spread_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str, hot: DataFrame | None = None
-) -> DataFrame:
-    """``lookup_join`` beyond the broadcast size.
-
-    Hot keys meet their at most HOT_SHARE lookup rows in a broadcast.  In the
-    shuffle join that serves the other keys, hot rows and rows with a NULL key
-    are spread by their input partition, so no task gets a hot group.
-    """
-    keys = list(keys)
-    keep = how in ("left", "inner")
-    payload = [c for c in lookup.columns if c not in keys] if keep else []
-    hot = hot_keys(rows, keys) if hot is None else hot
-    found = F.struct(*payload, F.lit(True).alias("_found"))
-
-    # One row per hot key, with its lookup row if there is one.
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi").dropDuplicates(keys)
-    hot_facts = hot_lookup.select(*keys, found.alias("_hot_facts"))
-    hot_side = hot.join(F.broadcast(hot_facts), keys, "left").withColumn("_is_hot", F.lit(True))
-
-    spread = F.col("_is_hot").isNotNull()
-    for k in keys:
-        spread = spread | F.col(k).isNull()
-    # Zero for every key, but not a literal: the optimizer would drop a constant
-    # from the join keys, and hot rows would stay together.
-    level = F.pmod(F.hash(*keys), F.lit(1))
-    tagged = rows.join(F.broadcast(hot_side), keys, "left").withColumn(
-        "_salt", F.when(spread, 1 + F.spark_partition_id() % 1024).otherwise(level)
+    if how not in ("left", "inner"):
+        lookup = lookup.distinct()
+    hot = F.broadcast(hot_salts(rows, keys))
+    salts = F.coalesce("_salts", F.lit(1))
+    named = [*keys, "_salt"]
+    salted = rows.withColumn("_hot", F.xxhash64(*keys)).join(hot, "_hot", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")
+    )
+    copied = lookup.withColumn("_hot", F.xxhash64(*keys)).join(hot, "_hot", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    by = [*keys, "_salt"]
-    if not keep:
-        # Repeated keys are combined map-side, so the lookup has no hot key either.
-        lookup = lookup.select(*keys).distinct()
-    if how == "left_anti":
-        # Spread rows match nothing here, so those of a found hot key leave before.
-        kept = tagged.filter(F.col("_hot_facts").isNull()).join(lookup.withColumn("_salt", level), by, "left_anti")
-        return kept.select(*rows.columns)
-    facts = lookup.select(*keys, found.alias("_cold_facts")).withColumn("_salt", level)
-    joined = tagged.join(facts, by, "left").withColumn("_facts", F.coalesce("_hot_facts", "_cold_facts"))
-    if how != "left":
-        joined = joined.filter(F.col("_facts").isNotNull())
-    return joined.select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in payload])
+    return salted.join(copied.select(*named, *payload), named, how).select(*rows.columns, *payload)
 
 
 def _bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
@@ -124,11 +80,11 @@ def _bucketed(df: DataFrame, column: str, bounds: Sequence[float], out: str) ->
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def value_positions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame, int]:
+def value_positions(df: DataFrame, value: str) -> tuple[DataFrame, int]:
     """Distinct values with their count, the rows below them and all rows.
 
-    Returns (positions, counts, number of distinct values); positions has the
-    columns value, n, below and total.  ``df`` is read once: rows are counted
+    Returns (positions, number of distinct values); positions has the columns
+    value, n, below and total.  ``df`` is read once: rows are counted
     per value, so a hot value is one row, and the counts are written.
     Quantiles of the *distinct* values then cut them into even ranges, a
     running sum runs inside each range, and the at most MAX_BUCKETS range
@@ -153,20 +109,19 @@ def value_positions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame, in
     positions = ranged.join(F.broadcast(offsets), "_bucket").select(
         value, "n", (F.col("_before") + inside).alias("below"), "total"
     )
-    return positions, counts, distinct
+    return positions, distinct
 
 
 def with_tie_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percentile rank with ties averaged; NULL values get NULL."""
-    positions, counts, distinct = value_positions(df, value)
+    positions, _ = value_positions(df, value)
     ranks = positions.select(value, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
-    hot = counts.filter(F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar()).select(value)
-    return lookup_join(df, ranks, [value], small=distinct <= BROADCAST_ROWS, hot=hot)
+    return lookup_join(df, ranks, [value])
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row with the exact median, by position rather than by one big sort."""
-    p, _, _ = value_positions(df, value)
+    p, _ = value_positions(df, value)
     last = F.col("below") + F.col("n")
     lower = F.floor((F.col("total") - 1) / 2)
     upper = F.floor(F.col("total") / 2)
@@ -179,76 +134,42 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def with_neighbour(
-    df: DataFrame,
-    partition: Sequence[str],
-    order: tuple[str, str],
-    value: Column,
-    out: str,
-    ahead: bool = False,
-    buckets: int | None = None,
-) -> DataFrame:
-    """``lag(value)`` (or ``lead``) over a timestamp and an id.
-
-    ``order`` is (timestamp column, numeric id column), unique together.  A
-    table counted and found small takes a plain window.  Beyond that, a window
-    would sort all rows of a hot key (or of the whole table when ``partition``
-    is empty) in one task, so ``ranged_neighbour`` cuts the order into ranges.
-    """
-    if buckets is None:
-        if is_small(df.select(*order)):
-            forward = W.partitionBy(*(partition or [F.lit(1)])).orderBy(*order)
-            return df.withColumn(out, (F.lead if ahead else F.lag)(value).over(forward))
-        buckets = max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return ranged_neighbour(df, partition, order, value, out, ahead, buckets)
-
-
-def ranged_neighbour(
-    df: DataFrame, partition: Sequence[str], order: tuple[str, str], value: Column, out: str, ahead: bool, buckets: int
+def with_neighbours(
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column,
+    before: str | None = None, after: str | None = None, ranges: int | None = None,
 ) -> DataFrame:
-    """``with_neighbour`` beyond the small size.
-
-    Only hot keys (at most HOT_SHARE) are cut, into time ranges; a timestamp
-    that sits on a range bound gets ranges of its own, cut by id, so an instant
-    may hold any share of the rows.  The value at the edge of each (hot key,
-    range) is found first, edges look at the nearest edge before them, and each
-    range gets one extra row in front that carries what it found.  One window
-    over (key, range) then serves hot and other keys alike: rows move once.
-    There are at most ``buckets * (buckets + 1)`` ranges per hot key.
+    """``lag(value)`` as ``before`` and ``lead(value)`` as ``after``, in the given order.
+
+    ``order`` are columns of any orderable types, unique together in a
+    partition.  A window by key would sort all rows of a hot key (or of the
+    whole table when ``partition`` is empty) in one task.  Rows are therefore
+    cut into even ranges of (key, order), by the columns themselves, and the
+    ranges are written once, so that they stay what they are when a task is
+    repeated.  A key that goes on in the next range gets one extra row at its
+    edge that carries the value from beyond; one window over (range, key) then
+    serves both directions.  A key has at most one edge row for each range.
     """
-    ts, tie = order
-    partition = list(partition)
-    if partition:
-        hot = hot_keys(df, partition, with_null=True).select(*[F.col(k).alias(f"_hot_{k}") for k in partition])
-        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in partition]
-        marked = df.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), same, "left").drop(*hot.columns)
-    else:
-        marked = df.withColumn("_is_hot", F.lit(True))
-    timed = marked.withColumns({
-        "_ts": micros(F.col(ts)).cast("double"), "_tie": F.col(tie).cast("double"), "_value": F.struct(value.alias("v")),
-    })
-    is_hot = F.col("_is_hot").isNotNull()
-    ts_bounds, tie_bounds = _bounds(timed.filter(is_hot).select("_ts", "_tie"), ["_ts", "_tie"], buckets)
-    cut = _bucketed(_bucketed(timed, "_ts", ts_bounds, "_range"), "_tie", tie_bounds, "_tie_range")
-    on_bound = F.col("_ts").isin(*ts_bounds) if ts_bounds else F.lit(False)
-    cut = cut.withColumns({
-        "_range": F.when(is_hot, F.coalesce(F.col("_range").cast("int"), F.lit(-1))).otherwise(F.lit(-2)),
-        "_part": F.when(is_hot & on_bound, F.col("_tie_range").cast("int")).otherwise(F.lit(buckets + 1)),
-    })
-    spots = [*partition, "_range", "_part"]
-
-    steps, hops = [F.col("_ts"), F.col("_tie")], [F.col("_range"), F.col("_part")]
-    if ahead:
-        steps, hops = [c.desc() for c in steps], [c.desc() for c in hops]
-    pick = F.min_by if ahead else F.max_by
-    edges = cut.filter(is_hot).groupBy(*spots).agg(pick("_value", F.struct("_ts", "_tie")).alias("_edge"))
-    # One row per (hot key, range).
-    far = F.lag("_edge").over(W.partitionBy(*(partition or [F.lit(1)])).orderBy(*hops))
-    in_front = edges.select(*spots, far.alias("_value")).filter(F.col("_value").isNotNull()).withColumn("_first", F.lit(0))
-    rows = cut.select(*df.columns, "_ts", "_tie", "_value", "_range", "_part", F.lit(1).alias("_first"))
-    rows = rows.unionByName(in_front, allowMissingColumns=True)
-    near = F.lag("_value").over(W.partitionBy(*spots).orderBy("_first", *steps))
-    return rows.withColumn("_near", near).filter(F.col("_first") == 1).select(*df.columns, F.col("_near.v").alias(out))
+    partition, order = list(partition), list(order)
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(
+        df.repartitionByRange(ranges, *partition, *order).withColumns({
+            "_range": F.spark_partition_id(), "_value": F.struct(value.alias("v")), "_at": F.lit(1),
+        })
+    )
+    spots = ["_range", *partition]
+    place = F.struct(*order)
+    edges = ranged.groupBy(*spots).agg(F.min_by("_value", place).alias("_first"), F.max_by("_value", place).alias("_last"))
+    # One row per (key, range).
+    along = W.partitionBy(*(partition or [F.lit(1)])).orderBy("_range")
+    edges = edges.withColumns({"_before": F.lag("_last").over(along), "_after": F.lead("_first").over(along)})
+    beyond = edges.select(*spots, F.inline(F.array(
+        F.struct(F.col("_before").alias("_value"), F.lit(0).alias("_at")), F.struct(F.col("_after").alias("_value"), F.lit(2).alias("_at")),
+    ))).filter("_value IS NOT NULL")
+    near = W.partitionBy(*spots).orderBy("_at", *order)
+    found = {"_before": F.lag("_value").over(near), "_after": F.lead("_value").over(near)}
+    named = [F.col(f"{c}.v").alias(out) for c, out in (("_before", before), ("_after", after)) if out]
+    rows = ranged.unionByName(beyond, allowMissingColumns=True).withColumns(found).filter("_at = 1")
+    return rows.select(*df.columns, *named)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -393,8 +393,8 @@ def lineage_closure(spark, d):
 SELECT ancestor AS id, -distance AS distance FROM closure WHERE descendant = 40
 UNION ALL SELECT 40, 0 UNION ALL SELECT descendant, distance FROM closure WHERE ancestor = 40""")
 def lineage_of_version(spark, d):
-    pairs = lineage.ancestry(frame(spark, d, "lineage"))
-    return lineage.lineage_of(pairs, F.lit(40).cast("bigint"))
+    asked = spark.range(40, 41)
+    return lineage.lineage_of(frame(spark, d, "lineage"), asked).select("id", "distance")
 
 
 @query("lineage_integrity", ctes("broken_lineage") + """

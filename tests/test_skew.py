@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snaplake.operators import skew
-from snaplake.operators.lineage import ancestors_of, ancestry, descendants_of, lineage_of
+from snaplake.operators.lineage import ancestry, lineage_of
 
 
 @pytest.fixture
@@ -20,45 +20,67 @@ def hot(spark):
     return spark.createDataFrame(data, "k int, v string").repartition(6)
 
 
+@pytest.fixture
+def always_shuffled(spark):
+    """Joins shuffle, and partitions of a few kilobytes count as too large."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("has_hot", [True, False])
-def test_spread_join_equals_plain_join(spark, hot, rows, how, has_hot):
+@pytest.mark.parametrize("budget", [100, 1_000_000])
+def test_lookup_join_equals_plain_join(spark, hot, rows, always_shuffled, monkeypatch, how, has_hot, budget):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", budget)
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(0 if has_hot else 2, 2000)], "k int, name string")
     if how in ("left_semi", "left_anti"):
         lookup = lookup.unionByName(lookup)
-    got = skew.spread_join(hot, lookup, ["k"], how)
+    got = skew.lookup_join(hot.repartition(5, "k"), lookup, ["k"], how)
     assert rows(got) == rows(hot.join(lookup, ["k"], how).select(*got.columns))
 
 
-def test_spread_join_keeps_the_salt_in_the_shuffle(spark, hot):
+def test_no_task_gets_all_of_a_hot_key(spark, always_shuffled, monkeypatch):
+    """Rows that were shuffled by their key before lie in one task; the join spreads them."""
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    given = spark.range(3000).select(F.lit(1).alias("k"), "id").repartition(40, "k")
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(2000)], "k int, name string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan_text(skew.spread_join(hot, lookup, ["k"], "left"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    exchange = [line for line in text.splitlines() if "Exchange hashpartitioning(k#" in line and "_salt" in line]
-    assert exchange, text
+    # What runs behind the join runs in the join's own tasks.
+    tasks = skew.lookup_join(given, lookup, ["k"]).select(F.spark_partition_id().alias("task")).collect()
+    most = max(tasks.count(t) for t in set(tasks))
+    assert len(tasks) == 3000 and most <= 900
 
 
-def test_lookup_join_checks_the_size(spark, hot, rows, monkeypatch):
-    lookup = spark.createDataFrame([(k, f"n{k}") for k in range(2000)], "k int, name string")
-    small = rows(skew.lookup_join(hot, lookup, ["k"]))
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(skew.is_small, "__defaults__", (10,))
-    assert not skew.is_small(lookup)
-    assert rows(skew.lookup_join(hot, lookup, ["k"])) == small
+@pytest.mark.parametrize("name", [
+    "fk_composite", "anti_broken_refs", "transitions", "version_links", "dossier", "lineage_integrity", "register_check", "percentile_score",
+])
+def test_queries_with_small_budgets(spark, monkeypatch, name):
+    from __spark_entry__ import oracle_sql, queries
+    from check_oracle import compare, connect
 
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    folder = "/root/testdata/sf0.001"
+    assert compare(connect(folder), queries()[name](spark, folder), oracle_sql()[name]) is None
 
-def test_hot_keys_are_few(spark, hot):
-    assert [r.k for r in skew.hot_keys(hot, ["k"]).filter("k = 1").collect()] == [1]
-    assert skew.hot_keys(hot, ["k"]).count() <= skew.HOT_SHARE
 
+def test_lookup_join_leaves_the_size_to_the_planner(spark, hot):
+    lookup = spark.createDataFrame([(k, f"n{k}") for k in range(200)], "k int, name string")
+    text = plan_text(skew.lookup_join(hot, lookup, ["k"]))
+    # The only hint is on the bounded table of hot keys.
+    assert "MOST_HOT" not in text and text.split("== Analyzed Logical Plan ==")[1].split("==")[0].count("ResolvedHint") == 2
 
-@pytest.mark.parametrize("bucket, broadcast", [(7, 300_000), (7, 3), (100_000, 3)])
-def test_tie_percentile_equals_definition(spark, monkeypatch, bucket, broadcast):
+
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_tie_percentile_equals_definition(spark, monkeypatch, bucket):
     monkeypatch.setattr(skew, "BUCKET_VALUES", bucket)
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     values = [0.0] * 200 + [round(rng.gauss(0, 5), 1) for _ in range(400)] + [None] * 5
     df = spark.createDataFrame(list(enumerate(values)), "id int, x double")
@@ -95,34 +117,33 @@ def test_exact_median(spark, monkeypatch, n):
 
 
 @pytest.mark.parametrize("partition", [[], ["k"]])
-@pytest.mark.parametrize("ahead", [False, True])
-def test_neighbour_equals_window(spark, rows, partition, ahead):
-    """A hot key, a hot instant, NULL keys and NULL values."""
+@pytest.mark.parametrize("ranges", [1, 8, 50])
+def test_neighbours_equal_a_window(spark, rows, partition, ranges):
+    """A hot key, a hot instant, NULL keys, NULL values, and ids that no double can tell apart."""
     rng = random.Random(11)
     data = []
     for i in range(3000):
         key = 1 if i % 3 == 0 else None if i % 40 == 1 else rng.randrange(2, 30)
         second = 500 if i % 3 == 1 else rng.randrange(1000)
-        data.append((key, second, i, None if i % 17 == 0 else rng.choice("abc")))
+        data.append((key, second, 2**60 + i, None if i % 17 == 0 else rng.choice("abc")))
     df = spark.createDataFrame(data, "k int, s int, id bigint, v string").withColumn("ts", F.timestamp_seconds("s"))
-    pick = F.lead if ahead else F.lag
-    plain = pick("v").over(W.partitionBy(*(partition or [F.lit(1)])).orderBy("ts", "id"))
-    got = skew.with_neighbour(df, partition, ("ts", "id"), F.col("v"), "near", ahead=ahead, buckets=8)
-    assert rows(got, "id", "near") == rows(df.withColumn("near", plain), "id", "near")
+    by = W.partitionBy(*(partition or [F.lit(1)])).orderBy("ts", "id")
+    want = df.withColumns({"old": F.lag("v").over(by), "new": F.lead("v").over(by)})
+    got = skew.with_neighbours(df, partition, ("ts", "id"), F.col("v"), "old", "new", ranges)
+    assert rows(got, "id", "old", "new") == rows(want, "id", "old", "new")
 
 
-def test_neighbour_moves_rows_once(spark):
-    df = spark.range(1000).select(F.timestamp_seconds("id").alias("ts"), "id", (F.col("id") % 3).alias("k"))
-    got = skew.with_neighbour(df, ["k"], ("ts", "id"), F.col("id"), "near", buckets=8)
-    text = plan_text(got).split("== Physical Plan ==")[1]
-    # The rows go through one window; the only joins mark hot keys by broadcast.
-    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+def test_neighbours_by_text_ids_and_of_nothing(spark, rows):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "id string, v int")
+    assert rows(skew.with_neighbours(df, [], ["id"], F.col("v"), "old", "new")) == [("a", 2, None, 1), ("b", 1, 2, 3), ("c", 3, 1, None)]
+    assert skew.with_neighbours(df.limit(0), [], ["id"], F.col("v"), "old").count() == 0
 
 
-def test_neighbour_of_a_small_table_is_a_plain_window(spark):
-    df = spark.range(1000).select(F.timestamp_seconds("id").alias("ts"), "id", (F.col("id") % 3).alias("k"))
-    text = plan_text(skew.with_neighbour(df, ["k"], ("ts", "id"), F.col("id"), "near"))
-    assert text.split("== Physical Plan ==")[1].count("Exchange") == 1
+def test_no_window_holds_a_hot_key(spark):
+    df = spark.range(4000).select(F.timestamp_seconds("id").alias("ts"), "id", F.lit(1).alias("k"))
+    got = skew.with_neighbours(df, ["k"], ("ts", "id"), F.col("id"), "near", ranges=8)
+    windows = [t for t in plan_text(got).split("== Physical Plan ==")[1].splitlines() if "Window [" in t]
+    assert any("_range" in t.split("], [")[1] for t in windows)
 
 
 def test_newest_per_key_limits_before_the_shuffle(spark):
@@ -145,12 +166,22 @@ def test_ancestry_of_a_chain_and_a_star(spark, rows):
             want.append((i, at, distance))
             at, distance = parents[at], distance + 1
     assert rows(pairs) == sorted(want, key=repr)
-    assert rows(ancestors_of(pairs, F.lit(2))) == [(0, 2), (1, 1)]
-    assert descendants_of(pairs, F.lit(19)).count() == 50
-    assert lineage_of(pairs, F.lit(18).cast("bigint")).count() == 18 + 1 + 51
+    asked = spark.createDataFrame([(18,), (2,), (2,), (777,), (500,)], "v bigint")
+    both = want + [(i, i, 0) for i in [*parents, 500]]
+    wanted = [(a, i, d) for x, y, d in both for a, i, d in {(x, y, -d), (y, x, d)} if a in (18, 2, 500)]
+    assert rows(lineage_of(df, asked)) == sorted(wanted, key=repr)
+
+
+def test_lineage_of_a_long_chain(spark):
+    chain = spark.range(100_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    found = lineage_of(chain, spark.range(70_000, 70_001))
+    got = found.agg(F.count("id"), F.min("distance"), F.max("distance"), F.countDistinct("id"), F.sum(F.col("id") - F.col("distance"))).first()
+    assert tuple(got) == (100_000, -70_000, 29_999, 100_000, 70_000 * 100_000)
 
 
 def test_ancestry_refuses_a_cycle(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id bigint, parent bigint")
     with pytest.raises(ValueError):
         ancestry(df)
+    with pytest.raises(ValueError):
+        lineage_of(df, spark.range(1, 2))
