@@ -77,8 +77,12 @@ def us_date(c: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    """ISO text, with or without a time part or a zone; blank or bad is NULL."""
-    return F.try_to_timestamp(F.nullif(stripped(c), F.lit("")))
+    """ISO text with a whole date, with or without a time part or a zone; all else is NULL.
+
+    Spark alone would complete a bare time or year with parts of its own.
+    """
+    text = stripped(c)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(text))
 
 
 def nan_to_null(c: Column) -> Column:

@@ -31,7 +31,7 @@ def _event(when: Column, kind: Column | str, **details: Column) -> Column:
 
 
 def change_events(old: DataFrame, new: DataFrame, key: str = "firm_id") -> DataFrame:
-    """One row per event: key, event_type and its details.
+    """One row per event: key, event_type, its details and its position among the events of the key.
 
     One full outer join; the rules are columns of an array, so a firm's events
     are found in one pass.  A column that a side lacks never counts as changed.
@@ -77,7 +77,8 @@ def change_events(old: DataFrame, new: DataFrame, key: str = "firm_id") -> DataF
     for c in fv.STAFFING_FIELDS:
         if c in common:
             rules.append(_event(changed(c), "MATERIAL_STAFFING_CHANGE", name=name, field=F.lit(c), old=was(c), new=now(c)))
-    return o.join(n, key, "full").select(key, F.inline(F.array_compact(F.array(*rules))))
+    fired = o.join(n, key, "full").select(key, F.posexplode(F.array_compact(F.array(*rules))).alias("position", "_event"))
+    return fired.select(key, "_event.*", "position")
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -85,21 +86,26 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def events_by_firm(events: DataFrame, key: str = "firm_id") -> DataFrame:
-    """The distinct event types of a firm; there are 15 types, so the set is small."""
-    return events.groupBy(key).agg(F.sort_array(F.collect_set("event_type")).alias("event_types"))
+    """All event types of a firm in the order of the rules, repeats kept; a firm has one event per rule at most."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "event_type")))
+    return events.groupBy(key).agg(ordered["event_type"].alias("event_types"))
+
+
+def refresh_targets(scored: DataFrame) -> DataFrame:
+    """The firms of a scored snapshot that a refresh queue is about."""
+    return scored.filter(F.col("priority_category").isin("PRIORITY_A", "PRIORITY_B"))
 
 
 def refresh_queue(
-    scored: DataFrame, research: DataFrame, events: DataFrame, now: Column, stale_days: int = fv.STALE_DAYS
+    scored: DataFrame, research: DataFrame, events: DataFrame, now: Column, stale_days: int = fv.STALE_DAYS,
+    previous_version: str | None = None,
 ) -> DataFrame:
     """Action and reasons for every priority A and B firm of one snapshot.
 
     ``research`` has at most one record per firm: firm_id, last_researched_at
     (ISO text).  Sort with ``queue_order`` when the order matters.
     """
-    targets = scored.filter(F.col("priority_category").isin("PRIORITY_A", "PRIORITY_B")).select(
-        "firm_id", "name", "priority_category", "acquisition_score"
-    )
+    targets = refresh_targets(scored).select("firm_id", "name", "priority_category", "acquisition_score")
     record = research.select("firm_id", F.lit(True).alias("_has_record"), "last_researched_at")
     joined = targets.join(record, "firm_id", "left").join(events_by_firm(events), "firm_id", "left")
 
@@ -128,6 +134,7 @@ def refresh_queue(
     return joined.select(
         "firm_id", "name", "priority_category", "acquisition_score",
         action.alias("action"), reasons.alias("reasons"),
+        F.lit(previous_version).cast("string").alias("previous_dataset_version"),
     )
 
 

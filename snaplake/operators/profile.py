@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from snaplake import fixed_values as fv
 from snaplake.functions.text import name_class
+from snaplake.session import materialise
 
-# Up to this many columns each get their own grouping; wider tables are
-# unpivoted this many columns at a time.
+# Tables are unpivoted this many columns at a time, to keep plans small.
 CHUNK = 64
 # Sketch precision (log2 of its buckets): about 1.6 % relative error.
 SKETCH_LOG_K = 12
@@ -36,26 +36,22 @@ def _is_numeric(t: T.DataType) -> bool:
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n): each column's distinct values as text, NULL included.
 
-    A stored table is columnar, so grouping each column by itself reads every
-    column chunk once, keeps native types and multiplies no rows.  A very wide
-    table is unpivoted in chunks instead, to keep the plan small.
+    Columns are unpivoted in chunks and combined map-side.  Values are compared
+    as text, except that both zeros of a floating-point column are one value.
     """
     columns = list(columns or df.columns)
-    n = F.count(F.lit(1)).alias("n")
-    if len(columns) <= CHUNK:
-        parts = [
-            df.groupBy(F.col(f"`{c}`").alias("_v")).agg(n)
-            .select(F.lit(c).alias("column_name"), F.col("_v").cast("string").alias("value"), "n")
-            for c in columns
-        ]
-    else:
-        parts = []
-        for start in range(0, len(columns), CHUNK):
-            cells = F.array(*[
-                F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-                for c in columns[start:start + CHUNK]
-            ])
-            parts.append(df.select(F.inline(cells)).groupBy("column_name", "value").agg(n))
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+
+    def text(c: str) -> Column:
+        cell = F.col(f"`{c}`")
+        return (cell + F.lit(0).cast("float") if c in floats else cell).cast("string")
+
+    parts = []
+    for start in range(0, len(columns), CHUNK):
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns[start:start + CHUNK]
+        ])
+        parts.append(df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -224,7 +220,8 @@ def sample_values(values: DataFrame, size: int = fv.SAMPLE_VALUES) -> DataFrame:
 def schema_profile(df: DataFrame, columns: Sequence[str] | None = None, values: DataFrame | None = None) -> DataFrame:
     """Per column: type, nullable, nulls, pattern and sample values."""
     columns = list(columns or df.columns)
-    values = value_counts(df, columns) if values is None else values
+    # Counts, patterns and samples read the distinct values, which are computed once.
+    values = materialise(value_counts(df, columns)) if values is None else values
     counts = values.groupBy("column_name").agg(
         F.sum("n").alias("total_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
@@ -261,7 +258,7 @@ def data_dictionary(schema: DataFrame, meanings: DataFrame | None = None) -> Dat
     )
     if meanings is None:
         return out
-    return out.join(F.broadcast(meanings), out["column_name"] == meanings["field"], "left").drop("field")
+    return out.join(meanings, out["column_name"] == meanings["field"], "left").drop("field")
 
 
 def key_discovery(df: DataFrame, key: str) -> DataFrame:

@@ -57,9 +57,15 @@ def monthly(loads: DataFrame) -> DataFrame:
 
 
 def historical(loads: DataFrame) -> DataFrame:
-    """Every month and the whole history (month NULL, level ``all``) in one job."""
+    """Every month and the whole history (month NULL, level ``all``) in one job.
+
+    Loads without a readable time belong to no month, but to the history; ask
+    for ``between_dates`` first to leave them out.
+    """
+    keyed = loads.withColumn("month", month_key(F.col("download_timestamp")))
     return (
-        dated(loads).rollup("month").agg(F.grouping("month").alias("_g"), *load_metrics())
+        keyed.rollup("month").agg(F.grouping("month").alias("_g"), *load_metrics())
+        .filter((F.col("_g") == 1) | F.col("month").isNotNull())
         .withColumn("level", F.when(F.col("_g") == 1, "all").otherwise("month")).drop("_g")
     )
 

@@ -93,7 +93,7 @@ def category_rows(df: DataFrame, key: str, scores: str) -> DataFrame:
 def weighted_score(scores: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """Weighted mean over the categories a key has, from a long (key, category, score) table."""
     return (
-        scores.join(F.broadcast(weights), "category")
+        scores.join(weights, "category")
         .groupBy(key)
         .agg(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum("weight")).alias("weighted_score"))
     )

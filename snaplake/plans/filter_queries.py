@@ -40,7 +40,7 @@ def date_range(spark, d):
 
 
 @query("iso_dates", ctes("records") + """
-SELECT record_id, CAST(TRY_CAST(last_researched_at AS TIMESTAMPTZ) AS TIMESTAMP) AS researched_at FROM records""")
+SELECT record_id, CAST(CASE WHEN regexp_matches(trim(last_researched_at), '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]|$)') THEN TRY_CAST(last_researched_at AS TIMESTAMPTZ) END AS TIMESTAMP) AS researched_at FROM records""")
 def iso_dates(spark, d):
     return frame(spark, d, "records").select(
         "record_id", iso_timestamp(F.col("last_researched_at")).cast("timestamp_ntz").alias("researched_at")
@@ -73,7 +73,8 @@ SELECT record_id, {_joined(
     "CASE WHEN estimated_valuation_low < 0 THEN 'estimated_valuation_low' END",
     "CASE WHEN estimated_valuation_high < 0 THEN 'estimated_valuation_high' END",
     "CASE WHEN estimated_valuation_low > estimated_valuation_high THEN 'valuation_range' END",
-    "CASE WHEN TRY_CAST(last_researched_at AS TIMESTAMPTZ) IS NULL THEN 'last_researched_at' END",
+    "CASE WHEN NOT regexp_matches(last_researched_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]|$)') "
+    "OR TRY_CAST(last_researched_at AS TIMESTAMPTZ) IS NULL THEN 'last_researched_at' END",
 )} AS violations FROM records""")
 def record_rules(spark, d):
     return enrich.judged_records(frame(spark, d, "records")).select(

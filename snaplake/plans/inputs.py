@@ -162,7 +162,8 @@ def records(e) -> str:
         CASE WHEN o_orderkey % 17 = 0 THEN -o_totalprice ELSE o_totalprice END AS estimated_revenue,
         o_totalprice AS estimated_valuation_low,
         CASE WHEN o_orderkey % 23 = 0 THEN o_totalprice - 1 ELSE o_totalprice + 1000 END AS estimated_valuation_high,
-        CASE WHEN o_orderkey % 29 = 0 THEN 'yesterday' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T00:00:00Z' END
+        CASE WHEN o_orderkey % 29 = 0 THEN 'yesterday' WHEN o_orderkey % 31 = 0 THEN '12:30' WHEN o_orderkey % 37 = 0 THEN 'T08:00'
+             WHEN o_orderkey % 41 = 0 THEN '2024' WHEN o_orderkey % 43 = 0 THEN '2024-01' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T00:00:00Z' END
             AS last_researched_at
     FROM {orders}"""
 
@@ -212,7 +213,7 @@ def registry(e) -> str:
 
 def loads(e) -> str:
     return """
-    SELECT dataset_version, status, download_timestamp, file_size,
+    SELECT dataset_version, status, CASE WHEN r.event_id % 11 > 0 THEN download_timestamp END AS download_timestamp, file_size,
         CASE WHEN r.event_id % 3 > 0 THEN value END AS quality_score, CAST(r.event_id % 4 AS BIGINT) AS checks_failed
     FROM {registry} r JOIN {events} v ON v.event_id = r.event_id"""
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from snaplake import fixed_values as fv
 from snaplake.operators import diff, events, score, serve
 from snaplake.operators.skew import with_tie_percentile
-from snaplake.plans.inputs import NEW, NOW, ctes, frame, table
+from snaplake.plans.inputs import NEW, NOW, OLD, ctes, frame, table
 from snaplake.plans.registry import query
 from snaplake.session import materialise
 from snaplake.sources import dimensions
@@ -258,27 +258,43 @@ _RULES = [
     *[("MATERIAL_STAFFING_CHANGE", _CHANGED.format(c=c), f"'{c}'", f"CAST(o.{c} AS VARCHAR)", f"CAST(n.{c} AS VARCHAR)")
       for c in fv.STAFFING_FIELDS],
 ]
+def _amount(side: str, kind: str, shown: str) -> str:
+    column = kind.removesuffix("_CHANGE").lower() if kind.endswith("_CHANGE") else "total_aum"
+    return f"round(CAST({side}.{column} AS DOUBLE), 2)" if shown == "'aum'" else "CAST(NULL AS DOUBLE)"
+
+
 _EVENTS = ctes("scored_old", "scored_new", "research", "ranked") + ", change_events AS (" + " UNION ALL ".join(
-    f"""SELECT coalesce(o.firm_id, n.firm_id) AS firm_id, '{kind}' AS event_type, {field} AS field, {old} AS old_value, {new} AS new_value
+    f"""SELECT coalesce(o.firm_id, n.firm_id) AS firm_id, '{kind}' AS event_type, {field} AS field, nullif({old}, 'aum') AS old_value,
+        nullif({new}, 'aum') AS new_value, {_amount('o', kind, old)} AS old_amount, {_amount('n', kind, new)} AS new_amount,
+        {'n.name' if kind != 'REMOVED_FIRM' else 'NULL'} AS name, {number} AS rule,
+        {f'round(({_N} - {_O}) / {_O}, 9)' if kind.startswith('MATERIAL_AUM') else 'CAST(NULL AS DOUBLE)'} AS change_pct
     FROM (SELECT *, true AS here FROM scored_old) o FULL JOIN scored_new n ON o.firm_id = n.firm_id
     WHERE {rule.replace('both_sides', 'o.firm_id IS NOT NULL AND n.firm_id IS NOT NULL')}"""
-    for kind, rule, field, old, new in _RULES
+    for number, (kind, rule, field, old, new) in enumerate(_RULES)
 ) + ")\n"
+EVENTS_SQL = _EVENTS
 
 
 def _events(spark, d):
     return events.change_events(frame(spark, d, "scored_old"), frame(spark, d, "scored_new"))
 
 
-@query("change_events", _EVENTS + "SELECT * FROM change_events")
+@query("change_events", _EVENTS + "SELECT * EXCLUDE (rule) FROM change_events")
 def change_events(spark, d):
-    # Amounts print differently in the two engines, so only their presence is compared.
+    # Amounts print differently in the two engines, so they are compared as numbers.
     amount = F.col("event_type").contains("AUM")
+
     def shown(side):
         value = F.col(f"details.{side}")
-        return F.when(amount, F.lit("aum")).otherwise(value).alias(f"{side}_value")
-
-    return _events(spark, d).select("firm_id", "event_type", F.col("details.field").alias("field"), shown("old"), shown("new"))
+        return [
+            F.when(~amount, value).alias(f"{side}_value"),
+            F.when(amount, F.round(value.cast("double"), 2)).alias(f"{side}_amount"),
+        ]
+
+    return _events(spark, d).select(
+        "firm_id", "event_type", F.col("details.field").alias("field"), *shown("old"), *shown("new"),
+        F.col("details.name").alias("name"), F.round("details.change_pct", 9).alias("change_pct"),
+    )
 
 
 @query("event_counts", _EVENTS + "SELECT event_type, count(*) AS n FROM change_events GROUP BY 1")
@@ -287,7 +303,7 @@ def event_counts(spark, d):
 
 
 @query("events_by_firm", _EVENTS + """
-SELECT firm_id, string_agg(event_type, '|' ORDER BY event_type) AS event_types FROM (SELECT DISTINCT firm_id, event_type FROM change_events) GROUP BY 1""")
+SELECT firm_id, string_agg(event_type, '|' ORDER BY rule) AS event_types FROM change_events GROUP BY 1""")
 def events_by_firm(spark, d):
     return events.events_by_firm(_events(spark, d)).withColumn("event_types", F.array_join("event_types", "|"))
 
@@ -300,7 +316,7 @@ _QUEUE = _EVENTS + f""", joined AS (
              ELSE floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(CAST(TRY_CAST(r.last_researched_at AS TIMESTAMPTZ) AS TIMESTAMP))) / 86400000000) >= 180 END AS stale
     FROM (SELECT * FROM ranked WHERE dataset_version = (SELECT max(dataset_version) FROM scored_new)) t
     LEFT JOIN research r ON r.firm_id = t.firm_id
-    LEFT JOIN (SELECT firm_id, list(DISTINCT event_type ORDER BY event_type) AS types FROM change_events GROUP BY 1) e ON e.firm_id = t.firm_id
+    LEFT JOIN (SELECT firm_id, list(event_type ORDER BY rule) AS types FROM change_events GROUP BY 1) e ON e.firm_id = t.firm_id
     WHERE t.priority_category IN ('PRIORITY_A', 'PRIORITY_B')),
 queue AS (SELECT firm_id, name, priority_category, acquisition_score,
     CASE WHEN NOT has_record THEN CASE WHEN is_a THEN 'NEW_TARGET_RESEARCH' ELSE 'NO_REFRESH_REQUIRED' END
@@ -309,15 +325,18 @@ queue AS (SELECT firm_id, name, priority_category, acquisition_score,
               THEN CASE WHEN is_a THEN 'REFRESH_REQUIRED' ELSE 'PRIORITY_CHANGE_REVIEW' END
          ELSE 'NO_REFRESH_REQUIRED' END AS action,
     CASE WHEN NOT has_record THEN 'missing research record' WHEN len(types) > 0 THEN array_to_string(types, '|')
-         WHEN stale THEN 'stale>180d' ELSE 'no material event' END AS reasons FROM joined)
+         WHEN stale THEN 'stale>180d' ELSE 'no material event' END AS reasons, '{OLD}' AS previous_dataset_version FROM joined)
 """
 
 
 def _queue(spark, d):
     # The scored snapshot is read twice, so it is stored first.
     new = materialise(frame(spark, d, "ranked").filter(F.col("dataset_version") == NEW))
-    found = events.change_events(frame(spark, d, "scored_old"), new)
-    return events.refresh_queue(new, frame(spark, d, "research"), found, F.lit(NOW).cast("timestamp"))
+    # Only firms in the queue can give it reasons, so both snapshots are cut to them before they are compared.
+    targets = events.refresh_targets(new)
+    old = frame(spark, d, "scored_old").join(targets.select("firm_id"), "firm_id", "left_semi")
+    found = events.change_events(old, targets)
+    return events.refresh_queue(new, frame(spark, d, "research"), found, F.lit(NOW).cast("timestamp"), previous_version=OLD)
 
 
 @query("refresh_queue", _QUEUE + "SELECT * FROM queue")

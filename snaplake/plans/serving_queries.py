@@ -16,27 +16,28 @@ _METRICS = """count(*) AS attempts, count(*) FILTER (status = 'success') AS succ
     CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_file_size, round(avg(file_size), 4) AS avg_file_size,
     round(avg(quality_score), 4) AS avg_quality_score, CAST(coalesce(sum(checks_failed), 0) AS BIGINT) AS total_warnings,
     count(dataset_version) AS datasets_processed, max(download_timestamp) AS latest_ingestion,
-    last(dataset_version ORDER BY download_timestamp, dataset_version) AS latest_dataset"""
+    last(dataset_version ORDER BY download_timestamp NULLS FIRST, dataset_version) AS latest_dataset"""
 
 
-@query("daily_rollup", ctes("loads") + f"SELECT strftime(download_timestamp, '%Y-%m-%d') AS day, {_METRICS} FROM loads GROUP BY 1")
+@query("daily_rollup", ctes("loads") + f"SELECT strftime(download_timestamp, '%Y-%m-%d') AS day, {_METRICS} FROM loads WHERE download_timestamp IS NOT NULL GROUP BY 1")
 def daily_rollup(spark, d):
     return rollup.daily(frame(spark, d, "loads"))
 
 
-@query("monthly_rollup", ctes("loads") + f"SELECT strftime(download_timestamp, '%Y-%m') AS month, {_METRICS} FROM loads GROUP BY 1")
+@query("monthly_rollup", ctes("loads") + f"SELECT strftime(download_timestamp, '%Y-%m') AS month, {_METRICS} FROM loads WHERE download_timestamp IS NOT NULL GROUP BY 1")
 def monthly_rollup(spark, d):
     return rollup.monthly(frame(spark, d, "loads"))
 
 
 @query("historical_rollup", ctes("loads") + f"""
 SELECT month, CASE WHEN grouping(month) = 1 THEN 'all' ELSE 'month' END AS level, {_METRICS}
-FROM (SELECT *, strftime(download_timestamp, '%Y-%m') AS month FROM loads) GROUP BY ROLLUP (month)""")
+FROM (SELECT *, strftime(download_timestamp, '%Y-%m') AS month FROM loads) GROUP BY ROLLUP (month)
+HAVING grouping(month) = 1 OR month IS NOT NULL""")
 def historical_rollup(spark, d):
     return rollup.historical(frame(spark, d, "loads"))
 
 
-@query("period_members", ctes("loads") + "SELECT strftime(download_timestamp, '%Y-%m') AS month, dataset_version, status, download_timestamp FROM loads")
+@query("period_members", ctes("loads") + "SELECT strftime(download_timestamp, '%Y-%m') AS month, dataset_version, status, download_timestamp FROM loads WHERE download_timestamp IS NOT NULL")
 def period_members(spark, d):
     return rollup.period_members(frame(spark, d, "loads"))
 

@@ -16,12 +16,23 @@ from snaplake.sources.snapshots import VERSION
 TARGET_FILE_ROWS = 5_000_000
 
 
-def replace_version(df: DataFrame, path: str, parts: Sequence[str] = (VERSION,), fmt: str = "parquet") -> int:
+def replace_version(
+    df: DataFrame, path: str, parts: Sequence[str] = (VERSION,), fmt: str = "parquet", version: str | None = None
+) -> int:
     """Replace only the partitions that ``df`` holds; returns the rows written.
 
-    The count comes from the write itself, not from a second pass.
+    With ``version`` named, ``df`` is that version, whole: its part is replaced
+    even if no row is left.  The count comes from the write itself, not from a
+    second pass.
     """
     seen = Observation()
+    if version is not None:
+        (
+            df.drop(VERSION).observe(seen, F.count(F.lit(1)).alias("rows"))
+            .write.mode("overwrite").option("maxRecordsPerFile", TARGET_FILE_ROWS)
+            .format(fmt).save(f"{path}/{VERSION}={version}")
+        )
+        return seen.get["rows"]
     (
         df.observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -35,7 +46,7 @@ def replace_tables(frames: Mapping[str, DataFrame], root: str, version: str) ->
     """Raw tables of one version: names written and rows in total."""
     written, rows = [], 0
     for name, df in frames.items():
-        rows += replace_version(df.withColumn(VERSION, F.lit(version)), f"{root}/{name.replace('-', '_')}")
+        rows += replace_version(df, f"{root}/{name.replace('-', '_')}", version=version)
         written.append(name.replace("-", "_"))
     return written, rows
 

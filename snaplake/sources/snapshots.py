@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ CSV_OPTIONS = {
     "header": True, "encoding": "ISO-8859-1", "escape": '"', "multiLine": False,
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     "pathGlobFilter": "*.[cC][sS][vV]", "inferSchema": False,
+    # A file whose header is another one is an error, not a shift of columns.
+    "enforceSchema": False,
 }
 
 
@@ -38,6 +42,13 @@ def scan_csv_folder(spark: SparkSession, folder: str, quoted_newlines: bool = Fa
     return frames
 
 
+def scan_csv_union(spark: SparkSession, folder: str, quoted_newlines: bool = False) -> DataFrame:
+    """All files of a folder as one table, each read by its own header; a column that a file lacks is NULL."""
+    frames = scan_csv_folder(spark, folder, quoted_newlines)
+    named = [df.withColumn("source_file", F.lit(stem)) for stem, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def scan_entity(spark: SparkSession, path: str) -> DataFrame:
     """Every stored snapshot of an entity, older ones missing new columns."""
     return spark.read.option("mergeSchema", True).parquet(path)

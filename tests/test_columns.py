@@ -144,3 +144,12 @@ def test_observation_rules(spark):
     got = [r[0] for r in df.select(rules.observation_violations()).collect()]
     assert got == [[], ["value_type", "confidence", "review_status", "canonical_field"],
                    ["value_type", "review_status", "canonical_field"]]
+
+
+@pytest.mark.parametrize("text, whole", [
+    ("2024-01-15", True), ("2024-01-15T08:00:00Z", True), ("2024-01-15 08:00:00", True), ("2024-01-15T08:00:00+02:00", True),
+    ("12:30", False), ("T08:00", False), ("2024", False), ("2024-01", False), ("yesterday", False), ("", False), ("2024-13-01", False),
+])
+def test_iso_timestamps_need_a_whole_date(spark, text, whole):
+    found = spark.createDataFrame([(text,)], "t string").select(typing.iso_timestamp(F.col("t")).alias("ts")).first()["ts"]
+    assert (found is not None) == whole

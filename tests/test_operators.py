@@ -190,14 +190,15 @@ def test_refresh_queue_decisions(spark):
     research = spark.createDataFrame(
         [("c", None), ("d", ""), ("e", "2026-01-01T00:00:00Z"), ("f", "not a date"), ("h", "2025-01-01T00:00:00Z")],
         "firm_id string, last_researched_at string")
-    found = spark.createDataFrame([("e", "NEW_REGULATORY_DISCLOSURE"), ("e", "X"), ("d", "ENTERED_TARGET_AUM_BAND")],
-                                  "firm_id string, event_type string")
+    found = spark.createDataFrame(
+        [("e", "X", 3), ("e", "X", 1), ("e", "NEW_REGULATORY_DISCLOSURE", 0), ("e", "A", 2), ("d", "ENTERED_TARGET_AUM_BAND", 0)],
+        "firm_id string, event_type string, position int")
     queue = events.refresh_queue(scored, research, found, F.lit("2026-02-01").cast("timestamp"))
     got = [(r.firm_id, r.action, r.reasons) for r in queue.orderBy(*events.queue_order()).collect()]
     assert got == [
         ("a", "NEW_TARGET_RESEARCH", ["missing research record"]),
         ("d", "PRIORITY_CHANGE_REVIEW", ["ENTERED_TARGET_AUM_BAND"]),
-        ("e", "REGULATORY_REVIEW_REQUIRED", ["NEW_REGULATORY_DISCLOSURE", "X"]),
+        ("e", "REGULATORY_REVIEW_REQUIRED", ["NEW_REGULATORY_DISCLOSURE", "X", "A", "X"]),
         ("f", "PRIORITY_CHANGE_REVIEW", ["stale>180d"]),
         ("h", "REFRESH_REQUIRED", ["stale>180d"]),
         ("c", "REFRESH_REQUIRED", ["stale>180d"]),
@@ -255,7 +256,7 @@ def loads(spark):
 def test_history(spark):
     got = {r.month or "all": r for r in rollup.historical(loads(spark)).collect()}
     total = got["all"]
-    assert (total.attempts, total.successful, total.failed, total.avg_file_size, total.avg_quality_score) == (3, 2, 1, 200.0, 0.9)
+    assert (total.attempts, total.successful, total.failed, total.avg_file_size, total.avg_quality_score) == (4, 2, 1, 150.25, 0.9)
     assert set(got) == {"all", "2023-01", "2023-02"} and got["2023-02"].latest_dataset == "v3"
 
 
@@ -346,3 +347,11 @@ def test_dossier(spark):
 
 def test_taxonomy(spark):
     assert source_taxonomy(spark).count() == 10
+
+
+def test_both_zeros_are_one_value_in_tables_of_any_width(spark):
+    rows = [(0.0,) * 70, (-0.0,) * 70, (None,) * 70]
+    wide = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(70)))
+    for width in (1, 64, 65, 70):
+        found = profile.column_profile(wide.select(*[f"c{i}" for i in range(width)])).collect()
+        assert len(found) == width and {(r.unique_values, r.null_count, r.zero_count) for r in found} == {(1, 1, 2)}

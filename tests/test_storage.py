@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from snaplake.session import materialise, scratch_path, shared_folder
@@ -137,6 +139,36 @@ def test_arrivals_are_taken_once(spark, tmp_path):
     assert got == [("1", "ia07012026"), ("2", "ia07012026"), ("3", "ia08012026")]
 
 
+def test_arrivals_lose_no_row_and_shift_no_column(spark, tmp_path):
+    for folder, body in (("ia07012026", "x,y\n1,2\n3\n4,5,6\n"), ("undated", "x,y\n7,8\n")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "f.csv").write_text(body)
+    load_arrivals(spark, f"{tmp_path}/in/*", ["x", "y"], f"{tmp_path}/t", f"{tmp_path}/p")
+    got = sorted((r.dataset_version, r._wrong_row or f"{r.x},{r.y}") for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert got == [("ia07012026", "1,2"), ("quarantine", "3"), ("quarantine", "4,5,6"), ("quarantine", "7,8")]
+    (tmp_path / "in" / "ia08012026").mkdir()
+    (tmp_path / "in" / "ia08012026" / "g.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="g.csv"):
+        load_arrivals(spark, f"{tmp_path}/in/*", ["x", "y"], f"{tmp_path}/t", f"{tmp_path}/p")
+
+
+def test_files_of_a_folder_keep_their_own_headers(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text("id,name\n1,one\n")
+    (tmp_path / "b.csv").write_text("name,extra,id\ntwo,x,2\n")
+    got = snapshots.scan_csv_union(spark, str(tmp_path))
+    assert rows(got, "id", "name", "extra", "source_file") == [("1", "one", None, "a"), ("2", "two", "x", "b")]
+
+
+def test_an_empty_reload_empties_the_version(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    two = spark.createDataFrame([("a", "v1"), ("b", "v2")], "id string, dataset_version string")
+    tables.replace_version(two, path)
+    assert tables.replace_version(two.filter("id = 'x'"), path, version="v1") == 0
+    assert rows(snapshots.scan_entity(spark, path), "id", "dataset_version") == [("b", "v2")]
+    assert tables.replace_version(two.filter("id = 'a'"), path, version="v1") == 1
+    assert snapshots.scan_entity(spark, path).count() == 2
+
+
 def test_shared_folder_is_stable_and_named_by_the_session(spark):
     assert shared_folder(spark) == shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
