@@ -59,6 +59,17 @@ def observation_violations() -> Column:
     )
 
 
+def source_violations(columns: Sequence[str]) -> Column:
+    """Rules of an evidence source or a source task, for those of its fields that the table has."""
+    have = set(columns)
+    rules = [(f, ~given(F.col(f))) for f in ("source_type", "field_supported") if f in have]
+    rules += [(f, not_a_timestamp(F.col(f))) for f in ("accessed_at", "published_at") if f in have]
+    rules += [
+        (f, ~F.coalesce(F.col(f).isin(*fv.TASK_STATUSES), F.lit(False))) for f in ("retrieval_status", "status") if f in have
+    ]
+    return violations(*rules)
+
+
 def domain_violations(state: Column, id_number: Column, status: Column) -> Column:
     """Rules on the value domain of a state code, an id number and a status."""
     number = id_number.try_cast("bigint")

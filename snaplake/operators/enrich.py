@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake import fixed_values as fv
-from snaplake.functions.rules import observation_violations, record_violations
+from snaplake.functions.rules import observation_violations, record_violations, source_violations
 from snaplake.functions.text import source_address
 from snaplake.operators.skew import lookup_join
 from snaplake.sinks.tables import absent_rows
@@ -112,6 +112,19 @@ def unsupported_fields(proposed: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.join(supported_fields(sources), [*RECORD, "field"], "left_anti")
 
 
+def refused_fields(proposed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(record, field, reason) of proposed facts that may not be stored: not a fact, or without evidence."""
+    pairs = proposed.select(*RECORD, "field").distinct()
+    fact = F.col("field").isin(*fv.FACTUAL_FIELDS)
+    return pairs.filter(~F.coalesce(fact, F.lit(False))).withColumn("reason", F.lit("not a factual field")).unionByName(
+        unsupported_fields(pairs.filter(fact), sources).withColumn("reason", F.lit("no evidence"))
+    )
+
+
+def judged_sources(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("violations", source_violations(sources.columns))
+
+
 def new_captures(pages: DataFrame, known: DataFrame, text: str) -> DataFrame:
     """Pages whose content hash is not stored yet, each content once."""
     hashed = pages.withColumn("content_hash", F.sha2(F.col(text), 256)).drop(text)

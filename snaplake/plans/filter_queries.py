@@ -190,6 +190,29 @@ def evidence_support(spark, d):
     return enrich.unsupported_fields(frame(spark, d, "proposed"), frame(spark, d, "sources"))
 
 
+@query("evidence_refusals", ctes("proposed", "sources") + f"""
+SELECT DISTINCT firm_id, dataset_version, field, CASE WHEN field NOT IN ({_in(fv.FACTUAL_FIELDS)}) THEN 'not a factual field' ELSE 'no evidence' END AS reason
+FROM proposed p WHERE field NOT IN ({_in(fv.FACTUAL_FIELDS)}) OR NOT EXISTS (
+    SELECT 1 FROM sources s WHERE s.firm_id = p.firm_id AND s.dataset_version = p.dataset_version
+    AND list_contains(string_split_regex(s.field_supported, '[\\s,;|]+'), p.field))""")
+def evidence_refusals(spark, d):
+    return enrich.refused_fields(frame(spark, d, "proposed"), frame(spark, d, "sources"))
+
+
+@query("source_rules", ctes("sources") + f"""
+SELECT source_id, {_joined(
+    "CASE WHEN accessed_at IS NOT NULL AND source_id % 7 = 0 THEN 'accessed_at' END",
+    f"CASE WHEN upper(source_type) NOT IN ({_in(fv.TASK_STATUSES)}) AND source_id % 5 > 0 THEN 'retrieval_status' END",
+)} AS violations FROM sources""")
+def source_rules(spark, d):
+    """Some sources have a bare time, and most a status that is none."""
+    odd = frame(spark, d, "sources").withColumns({
+        "accessed_at": F.when(F.col("source_id") % 7 == 0, F.when(F.col("accessed_at").isNotNull(), "12:30")).otherwise(F.col("accessed_at")),
+        "retrieval_status": F.when(F.col("source_id") % 5 == 0, "RETRIEVED").otherwise(F.upper("source_type")),
+    })
+    return enrich.judged_sources(odd).select("source_id", F.array_join("violations", "|").alias("violations"))
+
+
 @query("main_office_lookup", ctes("scored_both", "offices") + """
 SELECT f.firm_id, f.dataset_version, f.name, street_address_1 AS main_office_street_address_1, city AS main_office_city,
     telephone AS main_office_phone

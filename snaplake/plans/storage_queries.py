@@ -175,6 +175,20 @@ def json_export(spark, d):
     return spark.read.schema("firm_id string, founder_name string, last_researched_at string").json(path)
 
 
+@query("file_bytes", """
+SELECT sha256('name' || chr(10) || string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS byte_hash, 'up' AS kind FROM customer
+UNION ALL SELECT sha256('name' || chr(10) || string_agg(c_name || chr(10), '' ORDER BY c_custkey DESC)), 'down' FROM customer""")
+def file_bytes(spark, d):
+    """The same rows in another order are another file."""
+    found = []
+    for kind, order in (("up", F.col("c_custkey").asc()), ("down", F.col("c_custkey").desc())):
+        path = scratch_path(spark, "bytes")
+        rows = table(spark, d, "customer").coalesce(1).sortWithinPartitions(order)
+        rows.select(F.col("c_name").alias("name")).write.option("header", True).csv(path)
+        found.append(files.byte_hashes(spark, path).select("byte_hash", F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1])
+
+
 @query("file_fingerprint", """
 SELECT 'c_custkey|"c,name"|c_mktsegment' AS column_names, CAST(3 AS BIGINT) AS column_count, count(*) AS row_count,
     true AS same_hashes FROM customer""")

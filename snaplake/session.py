@@ -42,8 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    """A path in the shared folder that nothing else uses, below a folder of this application."""
+    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete all that this application wrote below the shared folder.
+
+    Results are read from there, so this is for the application's owner to call,
+    once they are stored elsewhere; what a crashed application left behind has
+    its id in the path.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_folder(spark), spark.sparkContext.applicationId))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from snaplake import session
 from snaplake.session import materialise, scratch_path, shared_folder
 from snaplake.sinks import tables
 from snaplake.sources import files, snapshots
@@ -176,6 +177,15 @@ def test_shared_folder_is_stable_and_named_by_the_session(spark):
     assert cut.count() == 3 and "Range" not in cut._jdf.queryExecution().toString()
 
 
+def test_scratch_is_the_applications_own_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    cut = session.materialise(spark.range(3))
+    assert cut.count() == 3 and (tmp_path / spark.sparkContext.applicationId).is_dir()
+    assert session.clear_scratch(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
 def test_publishing_twice(spark, tmp_path, rows):
     """Facts are replaced, what people edit is kept."""
     root = str(tmp_path)
