@@ -48,6 +48,11 @@ def main_offices(offices: DataFrame) -> DataFrame:
     )
 
 
+# What a source or run that is published again may change.
+SOURCE_STATE = ("source_url", "source_title", "retrieval_status", "content_hash", "source_notes", "updated_at")
+RUN_STATE = ("status", "completed_at", "duration_seconds", "details")
+
+
 def _have(df: DataFrame, names: Sequence[str], kind: str = "string") -> list[Column]:
     return [F.col(n) if n in df.columns else F.lit(None).cast(kind).alias(n) for n in names]
 
@@ -81,6 +86,25 @@ def serving_tables(scored: DataFrame, offices: DataFrame, score_version: str, pu
     }
 
 
+def operations_tables(
+    research: DataFrame, sources: DataFrame, runs: DataFrame, alerts: DataFrame
+) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Research, sources, runs and alerts as ``sinks.tables.publish_keyed`` takes them.
+
+    Research and alerts belong to the people who edit them once they are there;
+    a source or run that comes again brings its new state.
+    """
+    def changed(df: DataFrame, columns: Sequence[str]) -> list[str]:
+        return [c for c in columns if c in df.columns]
+
+    return {
+        "firm_research": (research, list(FIRM_VERSION), []),
+        "research_sources": (sources, ["source_id"], changed(sources, SOURCE_STATE)),
+        "pipeline_runs": (runs, ["run_id"], changed(runs, RUN_STATE)),
+        "alerts": (alerts, ["alert_id"], []),
+    }
+
+
 # ------------------------------------------------------------------- filters
 def search(df: DataFrame, text: str | None, columns: Sequence[str] = ("name", "firm_id")) -> DataFrame:
     """Case-insensitive substring of any of the columns; no text, no filter."""

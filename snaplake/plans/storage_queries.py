@@ -4,6 +4,9 @@ Each query writes what it derives from the given tables below the session's
 shared folder, reads it again and returns what was read.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.functions.keys import date_key
@@ -240,6 +243,40 @@ def publish_tables(spark, d):
     return scores.join(spark.read.parquet(f"{root}/outreach_targets"), key)
 
 
+@query("publish_operations", ctes("research", "sources") + """
+SELECT 'firm_research' AS table_name, firm_id AS key, CASE WHEN length(firm_id) % 2 = 0 THEN 'EDITED' ELSE research_status END AS state,
+    NULL AS fixed FROM research
+UNION ALL SELECT 'research_sources', CAST(source_id AS VARCHAR), coalesce(source_title, '') || ' again', source_type FROM sources
+UNION ALL SELECT 'pipeline_runs', CAST(c_custkey AS VARCHAR), 'done', c_name FROM customer
+UNION ALL SELECT 'alerts', CAST(s_suppkey AS VARCHAR), 'open', s_name FROM supplier""")
+def publish_operations(spark, d):
+    """Published twice; between the two an analyst edits some research, and sources, runs and alerts change."""
+    root = scratch_path(spark, "operations")
+    research, sources = frame(spark, d, "research"), frame(spark, d, "sources")
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("dataset_version"), F.lit("running").alias("status"))
+    alerts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("alert_id"), F.col("s_name").alias("message"), F.lit("open").alias("state"))
+    tables.publish_keyed(serve.operations_tables(research, sources, runs, alerts), root)
+    edited = F.when(F.length("firm_id") % 2 == 0, "EDITED").otherwise(F.col("research_status"))
+    held = materialise(spark.read.parquet(f"{root}/firm_research").withColumn("research_status", edited))
+    held.write.mode("overwrite").parquet(f"{root}/firm_research")
+    again = serve.operations_tables(
+        research, sources.withColumns({
+            "source_title": F.concat(F.coalesce("source_title", F.lit("")), F.lit(" again")), "source_type": F.lit("other"),
+        }),
+        runs.withColumns({"status": F.lit("done"), "dataset_version": F.lit("other")}), alerts.withColumn("state", F.lit("new")),
+    )
+    tables.publish_keyed(again, root)
+    shown = {
+        "firm_research": ("firm_id", "research_status", F.lit(None)), "research_sources": ("source_id", "source_title", F.col("source_type")),
+        "pipeline_runs": ("run_id", "status", F.col("dataset_version")), "alerts": ("alert_id", "state", F.col("message")),
+    }
+    return reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{root}/{name}").select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.col(state).alias("state"), fixed.cast("string").alias("fixed")
+        ) for name, (key, state, fixed) in shown.items()
+    ])
+
+
 @query("change_event_export", EVENTS_SQL + f"""
 , numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY firm_id ORDER BY rule) - 1 AS INTEGER) AS position FROM change_events)
 SELECT firm_id, event_type, position, '{NEW}' AS dataset_version FROM numbered""")
