@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,15 @@ from snaplake.functions.keys import date_key, month_key
 LOAD_ORDER = ("download_timestamp", "dataset_version")
 
 
-def load_metrics() -> list[Column]:
-    """What every period level reports about its loads."""
+# Rows per layer that a registry may have counted.
+LAYER_ROWS = ("raw_rows", "typed_rows", "scored_rows")
+
+
+def load_metrics(columns: Sequence[str] = ()) -> list[Column]:
+    """What every period level reports about its loads; layers whose rows are in ``columns`` are summed."""
     status = F.col("status")
-    return [
+    totals = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"total_{c}") for c in LAYER_ROWS if c in columns]
+    return totals + [
         F.count(F.lit(1)).alias("attempts"),
         F.count_if(status == "success").alias("successful"),
         F.count_if(status == "failed").alias("failed"),
@@ -48,12 +55,12 @@ def between_dates(loads: DataFrame, start: str | None = None, end: str | None =
 
 
 def daily(loads: DataFrame) -> DataFrame:
-    return dated(loads).groupBy("day").agg(*load_metrics())
+    return dated(loads).groupBy("day").agg(*load_metrics(loads.columns))
 
 
 def monthly(loads: DataFrame) -> DataFrame:
     """Half-open months: a load belongs to exactly one."""
-    return dated(loads).groupBy("month").agg(*load_metrics())
+    return dated(loads).groupBy("month").agg(*load_metrics(loads.columns))
 
 
 def historical(loads: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def historical(loads: DataFrame) -> DataFrame:
     """
     keyed = loads.withColumn("month", month_key(F.col("download_timestamp")))
     return (
-        keyed.rollup("month").agg(F.grouping("month").alias("_g"), *load_metrics())
+        keyed.rollup("month").agg(F.grouping("month").alias("_g"), *load_metrics(loads.columns))
         .filter((F.col("_g") == 1) | F.col("month").isNotNull())
         .withColumn("level", F.when(F.col("_g") == 1, "all").otherwise("month")).drop("_g")
     )
@@ -91,7 +98,9 @@ def dataset_summaries(registry: DataFrame, artifacts: DataFrame) -> DataFrame:
     added, modified.  They are reduced to one row per version in one pass.
     """
     def newest(kind: str, *columns: str) -> Column:
-        hit = F.col("artifact_type") == kind
+        # A report without its numbers says nothing, and an older one with them counts.
+        told = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+        hit = (F.col("artifact_type") == kind) & told
         return F.max_by(
             F.when(hit, F.struct(*columns)), F.when(hit, F.struct("written_at", "artifact_id"))
         ).alias(f"_{kind}")

@@ -8,7 +8,8 @@ from snaplake import fixed_values as fv
 from snaplake.operators import lineage, profile, rollup, serve
 from snaplake.plans.inputs import NEW, ctes, frame, table
 from snaplake.plans.registry import query
-from snaplake.sources.files import parse_log
+from snaplake.session import scratch_path
+from snaplake.sources.files import flat_artifacts, parse_log, scan_artifacts
 
 # ------------------------------------------------------------------- rollups
 _METRICS = """count(*) AS attempts, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed,
@@ -64,6 +65,30 @@ def dataset_summary(spark, d):
     return _summaries(spark, d)
 
 
+@query("artifact_history", _SUMMARY + f"""
+SELECT month, CASE WHEN grouping(month) = 1 THEN 'all' ELSE 'month' END AS level, {_METRICS}, CAST(sum(event_id % 100) AS BIGINT) AS total_raw_rows,
+    CAST(coalesce(sum(CASE WHEN event_id % 2 = 0 THEN event_id % 90 END), 0) AS BIGINT) AS total_typed_rows
+FROM (SELECT *, strftime(download_timestamp, '%Y-%m') AS month FROM summary) GROUP BY ROLLUP (month) HAVING grouping(month) = 1 OR month IS NOT NULL""")
+def artifact_history(spark, d):
+    """Reports written as nested documents, scanned, flattened, joined to the registry and rolled up."""
+    root, kind = scratch_path(spark, "reports"), F.col("artifact_type")
+    quality = [F.col("quality_score"), F.col("passed"), F.col("failed")]
+    changes = F.struct(F.col("added").alias("added_count"), F.col("modified").alias("modified_count"))
+    names = lambda c: F.when(kind == "schema_diff", F.array_repeat(F.lit("column"), F.col(c).cast("int"))).alias(c)
+    frame(spark, d, "artifacts").select(
+        "dataset_version", "artifact_id", "written_at", "artifact_type",
+        F.when(kind == "quality", F.to_json(F.struct(*quality))).when(kind == "change_detection", F.to_json(changes)).alias("_summary"),
+        F.when(kind == "profiling", F.struct(quality[0], quality[1].alias("checks_passed"), quality[2].alias("checks_failed"))).alias("quality"),
+        names("missing"), names("extra"),
+    ).withColumn("summary", F.from_json("_summary", "quality_score double, passed long, failed long, added_count long, modified_count long")).drop(
+        "_summary"
+    ).write.partitionBy("artifact_type").json(root)
+    rows = frame(spark, d, "registry").withColumns({
+        "raw_rows": F.col("event_id") % 100, "typed_rows": F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 90),
+    })
+    return rollup.historical(rollup.dataset_summaries(rows, flat_artifacts(scan_artifacts(spark, root))))
+
+
 @query("change_history", _SUMMARY + """
 SELECT dataset_version, missing_columns, extra_columns, added_count, modified_count FROM summary
 WHERE missing_columns IS NOT NULL OR added_count IS NOT NULL""")

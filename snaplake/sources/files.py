@@ -26,6 +26,8 @@ ARTIFACT_SCHEMA = T.StructType(
         ])),
         T.StructField("missing", T.ArrayType(T.StringType())),
         T.StructField("extra", T.ArrayType(T.StringType())),
+        T.StructField("artifact_id", T.LongType()),
+        T.StructField("written_at", T.TimestampType()),
         T.StructField("_corrupt_record", T.StringType()),
         T.StructField("artifact_type", T.StringType()),
         T.StructField("dataset_version", T.StringType()),
@@ -45,12 +47,38 @@ def scan_artifacts(spark: SparkSession, root: str, one_per_file: bool = False) -
         .option("multiLine", one_per_file).option("mode", "PERMISSIVE").option("basePath", root)
         .json(root)
         .withColumn("source_file", F.col("_metadata.file_path"))
-        .withColumn("written_at", F.col("_metadata.file_modification_time"))
+        .withColumn("written_at", F.coalesce("written_at", F.col("_metadata.file_modification_time")))
         .filter(F.col("_corrupt_record").isNull())
         .drop("_corrupt_record")
     )
 
 
+def flat_artifacts(documents: DataFrame) -> DataFrame:
+    """Scanned documents as the flat rows that ``rollup.dataset_summaries`` takes.
+
+    Quality numbers stand in the summary of a quality report and in the quality
+    part of a profile; a schema difference counts its missing and extra columns.
+    A document without an id gets one from its file.
+    """
+    kind = F.col("artifact_type")
+    quality, profile = (kind == "quality"), (kind == "profiling")
+    differs = (kind == "schema_diff") & (F.col("missing").isNotNull() | F.col("extra").isNotNull())
+
+    def counted(c: str):
+        return F.when(differs, F.coalesce(F.size(c), F.lit(0)).cast("bigint")).alias(c)
+
+    def told(of_quality: str, of_profile: str, name: str):
+        return F.when(quality, F.col(f"summary.{of_quality}")).when(profile, F.col(f"quality.{of_profile}")).alias(name)
+
+    changes = kind == "change_detection"
+    return documents.select(
+        "dataset_version", "artifact_type", F.coalesce("artifact_id", F.xxhash64("source_file")).alias("artifact_id"), "written_at",
+        told("quality_score", "quality_score", "quality_score"), told("passed", "checks_passed", "passed"),
+        told("failed", "checks_failed", "failed"), counted("missing"), counted("extra"),
+        F.when(changes, F.col("summary.added_count")).alias("added"), F.when(changes, F.col("summary.modified_count")).alias("modified"),
+    )
+
+
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """``time | level | message`` lines; a line with fewer parts is left out."""
     parts = F.split(F.col(column), r" \| ", 3)
