@@ -39,6 +39,8 @@ TASK_VECTORS, TASK_QUERIES = 20_000, 20_000
 #: The wanted recall on the sample, and how sure a candidate must be to fail before it is dropped.
 RECALL, SURE = 0.965, 2.1
 COLUMNS = 16
+#: Share of candidates up to which they are followed one by one.
+DENSE = 0.05
 #: Further candidates that are compared exactly, beyond the wanted number.
 SPARE = 12
 #: Query-candidate pairs that are held at once.
@@ -162,10 +164,17 @@ def _scan_block(x: np.ndarray, offset: int, q: np.ndarray, asking: np.ndarray, b
     """Scan some vectors of a list for all queries that ask for it, and note what is nearer than before."""
     # The k-th nearest so far; what is spare beyond it need not be kept exact.
     limit = np.partition(best[asking], k - 1, axis=1)[:, k - 1]
-    left = q[asking, :COLUMNS]
-    near = (left**2).sum(axis=1)[:, None] + (x[:, :COLUMNS] ** 2).sum(axis=1)[None] - 2 * (left @ x[:, :COLUMNS].T)
-    done = min(COLUMNS, d)
-    row, col = np.nonzero(near <= _bound(limit, done, d)[:, None])
+    near = np.zeros((len(asking), len(x)), np.float32)
+    done, alive = 0, near.size
+    while done < d and alive > DENSE * near.size:
+        # While many candidates are left, a block of columns is one matrix product.
+        part = slice(done, done + COLUMNS)
+        left, right = q[asking, part], x[:, part]
+        near += (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None] - 2 * (left @ right.T)
+        done = min(done + COLUMNS, d)
+        stays = near <= _bound(limit, done, d)[:, None]
+        alive = np.count_nonzero(stays)
+    row, col = np.nonzero(stays)
     far = near[row, col]
     while done < d and len(row):
         more = slice(done, done + COLUMNS)
