@@ -2,8 +2,8 @@
 
 Each round replaces every edge by one that points to a smaller node of the same
 component, so that a component ends as a star round its smallest node.  Minima
-are pre-aggregated before the shuffle and joined back, so a node with very many
-edges never has to fit in one task.
+are pre-aggregated before the shuffle and joined back with the rows of a hot node
+spread over several tasks, so a node with very many edges never has to fit in one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snaplake.operators.skew import lookup_join
 from snaplake.session import materialise_counted
 
 MAX_ROUNDS = 60
@@ -30,14 +31,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
     low = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
     return (
-        both.join(low, "node").where(F.col("root") > F.col("node"))
+        lookup_join(both, low, ["node"]).where(F.col("root") > F.col("node"))
         .select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("node").agg(F.min("root").alias("low"))
-    joined = edges.join(low, "node")
+    joined = lookup_join(edges, low, ["node"])
     return (
         joined.where(F.col("root") != F.col("low")).select(F.col("root").alias("node"), F.col("low").alias("root"))
         .unionByName(low.select("node", F.col("low").alias("root"))).distinct()

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from snaplake.llm.common import flat, per_batch, texts_of
 from snaplake.llm.components import components
+from snaplake.operators.skew import lookup_join
 from snaplake.session import materialise
 
 SEED = 42
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, segment_bits
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     named = linked.join(lowest, "root").select("fp", "lowest")
     by_fp = first.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    # A third of the documents may share one fingerprint.
+    return lookup_join(marked, by_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def unique_rows(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
