@@ -166,7 +166,8 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = vocabulary(texts)
-    marked = texts.join(ids.withColumn("target", F.lit(True)), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    # Wanted ids grow with the documents, so texts meet them in a shuffle at every size.
+    marked = texts.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     unigrams, bigrams = count(marked, words)
     some = bool(unigrams[:, 0].any())
     shared = docs.sparkSession.sparkContext.broadcast((words, unigrams, bigrams.astype(np.float32)))
