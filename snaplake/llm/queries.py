@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import adaptive_scan, bpe, cross_entropy, html_blocks, language, line_quality, simhash, tiling, toxicity
+from snaplake.llm import adaptive_scan, bpe, cross_entropy, fixity, html_blocks, language, line_quality, simhash, tiling, toxicity
 from snaplake.llm.common import bucket_of, table
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,19 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC files of 500 records, against a replica in which some records are damaged and some are lost."""
+    record = fixity.warc_record(F.col("url"), F.col("page_id"), F.col("html"))
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select(
+        F.col("page_id").cast("long").alias("page_id"), F.floor(F.col("page_id") / 500).cast("string").alias("file"), record.alias("record")
+    )
+    ours = fixity.laid_out(pages, "file", "page_id", "record")
+    spoiled = F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.encode(F.lit("\u0001"), "UTF-8"), F.expr("substring(record, length(record) - 3, 4)"))
+    theirs = ours.where("page_id % 211 <> 7").withColumn("record", F.when(F.col("page_id") % 97 == 13, spoiled).otherwise(F.col("record")))
+    return fixity.audit(ours, theirs).join(ours.select("file", "offset", "page_id"), ["file", "offset"], "left").select("page_id", "file", "offset", "kind")
+
+
 @query
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; those of the held-out fold were not learned from."""
