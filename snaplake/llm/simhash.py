@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snaplake.llm import similar
 from snaplake.llm.common import flat, per_batch, texts_of
 from snaplake.llm.components import components
 from snaplake.operators.skew import lookup_join
@@ -214,15 +215,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, segment_bits
     return lookup_join(marked, by_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def unique_rows(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """One document of each near-duplicate class, with all its columns: the one with the smallest id.
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """One document of each class of similar texts, with all its columns: the one with the smallest id.
 
+    Similar are texts with a five-word Jaccard similarity of 0.8 or more, which is too far apart
+    for a few bits of a fingerprint; see ``similar``.
     Documents without an id come after all others; those with equal texts count as one.
     """
     unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
     keyed = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("__text", F.xxhash64("text"))
-    classes = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), words, bits)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    classes = similar.near_duplicates(keyed.select(F.col("__row").alias("row"), "text"))
+    first = classes.where("row = class").select(F.col("row").alias("__row")).distinct()
     return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row", "__text"]).select(*docs.columns)
 
 
