@@ -9,10 +9,11 @@ target.
 A document's own words are taken out of the counts before it is scored, or the
 documents that the target was counted from would look better than their like.
 
-Words and bigrams of all documents are counted and pre-aggregated where they are
-read.  The vocabulary is the most frequent words of the corpus; every other word
-is one unknown word.  Bigrams are counted in a fixed number of hashed slots, so
-the model that goes to every task has a size that does not depend on the corpus.
+Words and bigrams of all documents are counted by 64-bit keys, pre-aggregated where
+they are read, in one distributed table that grows with the corpus; no word or
+bigram is left out or shares a count.  A document's keys meet the table in a join.
+The most frequent keys are looked up in a broadcast of bounded size instead, and keys
+that occur once need no lookup, since what is left of them is nothing.
 
 Odd input: a null text is an empty one; a text without words has no loss, and its
 score is null.  Documents without an id or label belong to the background only.
@@ -24,28 +25,30 @@ empty result.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import per_batch, per_task, texts_of
+from snaplake.llm.common import flat, per_batch, per_task, texts_of
+from snaplake.session import materialise
 
-WORDS, SLOTS = 30_000, 1 << 21
-#: Words a task counts before it hands them on.
-HELD_WORDS = 400_000
+#: Words and keys that a task counts before it hands them on, and keys that are broadcast.
+HELD_WORDS, HELD_KEYS, HOT_KEYS = 400_000, 2_000_000, 1 << 19
 #: Weight of the word's own frequency against what follows its predecessor, and what every word counts beforehand.
 KAPPA, ALPHA = 20.0, 0.5
+#: The key of the mark before a text.
+START = 1
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def vocabulary(docs: DataFrame, size: int = WORDS) -> list[str]:
-    """The most frequent words of all documents; of equally frequent ones the first in order."""
+def vocabulary(docs: DataFrame, size: int = 30_000) -> list[str]:
+    """The most frequent words of all documents, to look at; of equally frequent ones the first in order."""
 
     def run(pieces):
         seen: Counter[str] = Counter()
@@ -68,124 +71,153 @@ def vocabulary(docs: DataFrame, size: int = WORDS) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def slot_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The slot of a bigram of word numbers."""
-    mixed = (before.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(43)).astype(np.int64) % SLOTS
+def word_keys(text: str) -> np.ndarray:
+    """Keys of the words with the start mark in front; keys of words are odd and those of bigrams even."""
+    words = words_of(text)
+    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) | np.uint64(1)
+    return np.r_[np.uint64(START), keys]
 
 
-def numbered(text: str, number: dict[str, int]) -> np.ndarray:
-    """Word numbers with the start mark in front; 0 is the start mark and 1 any unknown word."""
-    words = words_of(text)
-    return np.fromiter(map(number.get, words, repeat(1)), np.int64, len(words))
+def bigram_keys(keys: np.ndarray) -> np.ndarray:
+    """A key for each word and its predecessor."""
+    mixed = (keys[:-1] ^ (keys[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + keys[1:]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ (mixed >> np.uint64(29))) & ~np.uint64(1)
 
 
-class Losses:
-    """Losses of both models, from counts per word and per slot (a column for each model).
+def all_keys(text: str) -> np.ndarray:
+    """Signed keys of all words and bigrams of a text, with repeats; none if it has no words.
 
-    The background's counts are scaled to as many words as the target has, so that
-    both models are as sure of what they have seen.  A document's own words are
-    taken out of the models that it was counted for.
+    A word that ends a text has no successor, yet counts as a predecessor: ending is
+    what is left of its probability.
     """
+    keys = word_keys(text)
+    return np.concatenate([keys, bigram_keys(keys)]).view(np.int64) if len(keys) > 1 else np.zeros(0, np.int64)
 
-    def __init__(self, words: list[str], unigrams: np.ndarray, bigrams: np.ndarray):
-        self.number = {w: i + 2 for i, w in enumerate(words)}
-        total = unigrams[1:].sum(axis=0)
-        self.scale = total[0] / max(total[1], 1)
-        scale = np.array([1, self.scale])
-        self.unigrams, self.bigrams, self.total = unigrams * scale, bigrams * scale.astype(np.float32), total * scale
-        self.places = len(unigrams) - 1
-
-    def of(self, text: str) -> tuple[int, float | None, float | None, float | None]:
-        """(words, mean loss under the target, the same if the text is part of it, mean loss under the background)."""
-        now = numbered(text, self.number)
-        if not len(now):
-            return 0, None, None, None
-        before = np.r_[0, now[:-1]]
-        slots = slot_of(before, now)
-        own_slots, own_words, own_before = (_repeats(x) for x in (slots, now, before))
-        own_before[before == now[-1]] += 1  # the last word stands before nothing, but was counted
-        losses = []
-        for side, share in ((0, 0.0), (0, 1.0), (1, self.scale)):
-            alone = (np.maximum(self.unigrams[now, side] - share * own_words, 0) + ALPHA) / (
-                max(self.total[side] - share * len(now), 0) + ALPHA * self.places
-            )
-            pair = np.maximum(self.bigrams[slots, side] - share * own_slots, 0)
-            seen = np.maximum(self.unigrams[before, side] - share * own_before, pair)
-            losses.append(float(-np.log((pair + KAPPA * alone) / (seen + KAPPA)).mean()))
-        return len(now), *losses
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(key, n, t): how often each key occurs in all rows and in those with ``target``."""
 
-def _repeats(values: np.ndarray) -> np.ndarray:
-    """How often the value at each place occurs in all."""
-    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
-    return n[at].astype(float)
+    def run(pieces):
+        held: list[np.ndarray] = []
+        wanted: list[np.ndarray] = []
 
+        def told() -> pa.RecordBatch:
+            keys, at = np.unique(flat(held, np.int64), return_inverse=True)
+            ok = np.repeat(flat(wanted, np.int64), [len(h) for h in held])
+            n, t = np.bincount(at, minlength=len(keys)), np.bincount(at[ok > 0], minlength=len(keys))
+            held.clear()
+            wanted.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(t)], ["key", "n", "t"])
 
-def count(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per word number and per slot; column 0 for rows with ``target``, column 1 for all rows.
+        for piece in pieces:
+            for text, ok in zip(texts_of(piece), piece.column("target").to_pylist()):
+                held.append(all_keys(text))
+                wanted.append(np.array([ok], np.int64))
+                if len(held) % 100 == 0 and sum(map(len, held)) > HELD_KEYS:
+                    yield told()
+        yield told()
 
-    A word that ends a text has no successor, yet counts as a predecessor: ending is
-    what is left of its probability.
+    rows = per_task(docs.select("text", "target"), run, "key long, n long, t long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def found_in(keys: np.ndarray, table: tuple[np.ndarray, ...], into: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Copy the counts of those ``keys`` that a table sorted by key holds; says which they are."""
+    if not len(table[0]):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    hit = table[0][at] == keys
+    for out, values in zip(into, table[1:]):
+        out[hit] = values[at[hit]]
+    return hit
+
+
+class Losses:
+    """Mean losses of a text under both models.
+
+    The background's counts are scaled to as many words as the target has, so that
+    both models are as sure of what they have seen.  A document's own words are
+    taken out of the models that it was counted for.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
-    places = len(words) + 2
 
-    def run(pieces):
-        number = shared.value
-        # Word numbers and slots are counted as one range, for wanted rows and for all rows.
-        total = np.zeros((2, places + SLOTS), np.int64)
-        for piece in pieces:
-            held: list[list[np.ndarray]] = [[], []]
-            for text, ok in zip(texts_of(piece), piece.column("target").to_pylist()):
-                now = numbered(text, number)
-                if len(now):
-                    own = np.concatenate([[0], now, places + slot_of(np.r_[0, now[:-1]], now)])
-                    held[1].append(own)
-                    if ok:
-                        held[0].append(own)
-            for side, lists in enumerate(held):
-                if lists:
-                    at, n = np.unique(np.concatenate(lists), return_counts=True)
-                    total[side, at] += n
-        at = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["place", "target", "all"]
-        )
-
-    rows = per_task(docs.select("text", "target"), run, "place int, target long, all long")
-    table = rows.groupBy("place").agg(F.sum("target").alias("target"), F.sum("all").alias("all")).toArrow()
-    counts = np.zeros((places + SLOTS, 2))
-    counts[table.column("place").to_numpy()] = np.stack([table.column(c).to_numpy() for c in ("target", "all")], axis=1)
-    return counts[:places], counts[places:]
+    def __init__(self, hot: tuple[np.ndarray, ...], total: int, total_target: int, words: int):
+        self.hot, self.total, self.places = hot, (total_target, total), words + 1
+        self.scale = total_target / max(total, 1)
+
+    def of(self, text: str, target: bool, own: tuple[np.ndarray, ...]) -> tuple[int, float | None, float | None]:
+        """(words, mean loss under the target, mean loss under the background); ``own`` are counts of keys that are not hot."""
+        keys = all_keys(text)
+        n = len(keys) // 2
+        if not n:
+            return 0, None, None
+        values, at, repeats = np.unique(keys, return_inverse=True, return_counts=True)
+        # What is in neither table occurs here only.
+        everywhere, wanted = repeats.copy(), repeats * int(target)
+        for table in (self.hot, own):
+            found_in(values, table, (everywhere, wanted))
+        losses = []
+        for counts, share, scale, total in (
+            (wanted, int(target), 1.0, self.total[0]), (everywhere, 1, self.scale, self.total[1]),
+        ):
+            rest = (scale * (counts - share * repeats))[at]
+            words, pair = rest[: n + 1], rest[n + 1 :]
+            alone = (words[1:] + ALPHA) / (scale * (total - share * n) + ALPHA * self.places)
+            losses.append(float(-np.log((pair + KAPPA * alone) / (words[:-1] + KAPPA)).mean()))
+        return n, *losses
 
 
 def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, n_words, loss_target, loss_background, score) of every document; ``wanted`` holds the ids of the target."""
+    spark = docs.sparkSession
     ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = vocabulary(texts)
     # Wanted ids grow with the documents, so texts meet them in a shuffle at every size.
-    marked = texts.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    unigrams, bigrams = count(marked, words)
-    some = bool(unigrams[:, 0].any())
-    shared = docs.sparkSession.sparkContext.broadcast((words, unigrams, bigrams.astype(np.float32)))
+    marked = materialise(
+        texts.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
+        .select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row"))
+    )
+    counts = materialise(counted(marked))
+    word = (F.col("key").bitwiseAND(F.lit(1)) == 1) & (F.col("key") != START)
+    sums = counts.where(word).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    repeated = counts.where("n > 1")
+    hot = repeated.orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow().sort_by("key")
+    hot = tuple(hot.column(c).to_numpy() for c in ("key", "n", "t"))
+    shared = spark.sparkContext.broadcast((hot, sums["n"] or 0, sums["t"] or 0, sums["words"]))
+    some = bool(sums["t"])
+
+    def rare():
+        hot_keys = shared.value[0]
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = [np.unique(all_keys(t)) for t in texts_of(batch)]
+            lists = [x[~found_in(x, hot_keys[:1], ())] for x in lists]
+            row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            return pa.RecordBatch.from_arrays([pa.array(flat(lists, np.int64)), batch.column("row").take(row)], ["key", "row"])
+
+        return step
+
+    # Equal rows have equal scores, so each is looked up once.
+    once = per_batch(marked.select("row", "text"), rare, "key long, row long")
+    looked_up = once.join(repeated, "key").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("key", "n", "t"))).alias("own"))
+    given = marked.join(looked_up, "row", "left").select(
+        "doc_id", "text", "target", *(F.coalesce(F.col(f"own.{c}"), F.expr("cast(array() as array<bigint>)")).alias(c) for c in ("key", "n", "t"))
+    )
 
     def build():
         losses = Losses(*shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, *found = zip(*map(losses.of, texts_of(batch)))
+            lists = [[np.array(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(c)] for c in ("key", "n", "t")]
+            found = [losses.of(t, ok, own) for t, ok, *own in zip(texts_of(batch), batch.column("target").to_pylist(), *lists)]
+            n, *both = zip(*found)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in found)],
-                ["doc_id", "n_words", "outside", "inside", "loss_background"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in both)],
+                ["doc_id", "n_words", "loss_target", "loss_background"],
             )
 
         return step
 
-    found = per_batch(texts, build, "doc_id long, n_words long, outside double, inside double, loss_background double")
-    target = F.when(F.col("target"), F.col("inside")).otherwise(F.col("outside")) if some else F.lit(None).cast("double")
-    return found.join(ids.withColumn("target", F.lit(True)), "doc_id", "left").select(
-        "doc_id", "n_words", target.alias("loss_target"), "loss_background", (target - F.col("loss_background")).alias("score")
-    )
+    found = per_batch(given, build, "doc_id long, n_words long, loss_target double, loss_background double")
+    target = F.col("loss_target") if some else F.lit(None).cast("double")
+    return found.select("doc_id", "n_words", target.alias("loss_target"), "loss_background", (target - F.col("loss_background")).alias("score"))
