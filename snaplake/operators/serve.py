@@ -168,7 +168,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: str = VERSION) -
 
 def transitions(log: DataFrame, key: str, status: str, ts: str, tie: str) -> DataFrame:
     """Status changes only: the first status of a key and each one that differs from the one before."""
-    seen = with_neighbours(log, [key], (ts, tie), F.col(status), "from_status")
+    seen = with_neighbours(log.select(key, ts, tie, status), [key], (ts, tie), F.col(status), "from_status")
     return seen.filter(~F.col("from_status").eqNullSafe(F.col(status))).select(
         key, "from_status", F.col(status).alias("to_status"), F.col(ts).alias("changed_at"), tie
     )

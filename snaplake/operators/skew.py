@@ -24,36 +24,60 @@ BUCKET_VALUES = 250_000
 MAX_BUCKETS = 10_000
 
 
-def hot_salts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def hot_salts(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """(_hot, _salts): hash of each key with more than ``ROWS_PER_TASK`` rows, and over how many tasks to spread it.
 
-    Rows are counted per key map-side first.  There are at most ``MOST_HOT``
-    rows of two numbers, whatever the table holds, so the result may be broadcast.
-    Keys beyond that are joined like the others, only not spread.
+    Rows are counted per key map-side first, unless ``counts`` (the keys and
+    ``n``) already knows.  There are at most ``MOST_HOT`` rows of two numbers,
+    whatever the table holds, so the result may be broadcast.  Keys beyond that
+    are joined like the others, only not spread.
     """
-    counts = rows.select(F.xxhash64(*keys).alias("_hot")).groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = rows.select(F.xxhash64(*keys).alias("_hot")).groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = counts.select(F.xxhash64(*keys).alias("_hot"), F.col("n").alias("_n"))
     hot = counts.filter(F.col("_n") > ROWS_PER_TASK).orderBy(F.desc("_n"), "_hot").limit(MOST_HOT)
     return hot.select("_hot", F.ceil(F.col("_n") / ROWS_PER_TASK).cast("int").alias("_salts"))
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def _planned_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def needs_no_spread(rows: DataFrame, lookup: DataFrame) -> bool:
+    """Whether no key of ``rows`` can overload a task of the join, by the planner's own sizes.
+
+    Rows that one task may read cannot be too many for the task that joins them,
+    and a lookup small enough for the planner to broadcast shuffles no row.
+    """
+    conf = rows.sparkSession._jsparkSession.sessionState().conf()
+    return _planned_bytes(rows) <= conf.filesMaxPartitionBytes() or _planned_bytes(lookup) <= conf.autoBroadcastJoinThreshold()
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", counts: DataFrame | None = None
+) -> DataFrame:
     """Many-to-one equi-join; ``how`` is left, inner, left_semi or left_anti.
 
     For left and inner the lookup has one row per key; for the other two it
     may repeat keys, which are combined map-side first.  The planner sizes the
-    join by bytes.  A key with more rows than a task should get is spread: its
-    lookup row is copied for each salt, and its rows are salted by a hash of
+    join by bytes, and where its sizes rule out an overloaded task the join
+    stays as it is.  Else a key with more rows than a task should get is spread:
+    its lookup row is copied for each salt, and its rows are salted by a hash of
     all their columns, which does not depend on where they lie and is the same
     when a lost task is repeated.  Salts are part of the join keys, so a join
     that shuffles shuffles anew, and equal rows of one key, which share a salt,
     can still be split by adaptive execution if they come from several tasks.
+    ``counts`` (the keys and ``n``) saves counting the rows per key.
     """
     keys = list(keys)
     payload = [c for c in lookup.columns if c not in keys] if how in ("left", "inner") else []
     lookup = lookup.select(*keys, *payload)
     if how not in ("left", "inner"):
         lookup = lookup.distinct()
-    hot = F.broadcast(hot_salts(rows, keys))
+    if needs_no_spread(rows, lookup):
+        return rows.join(lookup, keys, how).select(*rows.columns, *payload)
+    hot = F.broadcast(hot_salts(rows, keys, counts))
     salts = F.coalesce("_salts", F.lit(1))
     named = [*keys, "_salt"]
     salted = rows.withColumn("_hot", F.xxhash64(*keys)).join(hot, "_hot", "left").withColumn(
@@ -116,7 +140,7 @@ def with_tie_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percentile rank with ties averaged; NULL values get NULL."""
     positions, _ = value_positions(df, value)
     ranks = positions.select(value, ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
-    return lookup_join(df, ranks, [value])
+    return lookup_join(df, ranks, [value], counts=positions)
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
@@ -172,6 +196,30 @@ def with_neighbours(
     return rows.select(*df.columns, *named)
 
 
+def with_positions(df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str, ranges: int | None = None) -> DataFrame:
+    """The place of every row of a key in the given order, from 0, as ``out``.
+
+    A row number by key would sort all rows of a hot key in one task.  Rows are
+    cut into even ranges of (key, order) and written; the rows of a key in the
+    ranges before, summed over at most one row per (key, range), are added to
+    the row number inside a range.  NULL comes first and is a key like any
+    other.  Rows that are equal in all these columns take their places in any
+    order; where they lie spreads them over the ranges.
+    """
+    partition, order = list(partition), list(order)
+    kept, seen = materialise_counted(df.withColumn("_tie", F.monotonically_increasing_id()), rows=F.count(F.lit(1)))
+    ranges = ranges or max(1, math.ceil(seen["rows"] / BUCKET_VALUES))
+    ranged = materialise(kept.repartitionByRange(ranges, *partition, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    spots = ["_range", *partition]
+    before = W.partitionBy(*(partition or [F.lit(1)])).orderBy("_range")
+    sizes = ranged.groupBy(*spots).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_of{i}") for i, c in enumerate(spots)], (F.sum("_n").over(before) - F.col("_n")).alias("_before")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(spots)]
+    inside = F.row_number().over(W.partitionBy(*spots).orderBy(*order, "_tie")) - 1
+    return ranged.join(sizes, same).select(*df.columns, (F.col("_before") + inside).alias(out))
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in the given order.
 

@@ -41,6 +41,7 @@ def always_shuffled(spark):
 @pytest.mark.parametrize("budget", [100, 1_000_000])
 def test_lookup_join_equals_plain_join(spark, hot, rows, always_shuffled, monkeypatch, how, has_hot, budget):
     monkeypatch.setattr(skew, "ROWS_PER_TASK", budget)
+    monkeypatch.setattr(skew, "needs_no_spread", lambda *a: False)
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(0 if has_hot else 2, 2000)], "k int, name string")
     if how in ("left_semi", "left_anti"):
         lookup = lookup.unionByName(lookup)
@@ -51,6 +52,7 @@ def test_lookup_join_equals_plain_join(spark, hot, rows, always_shuffled, monkey
 def test_no_task_gets_all_of_a_hot_key(spark, always_shuffled, monkeypatch):
     """Rows that were shuffled by their key before lie in one task; the join spreads them."""
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(skew, "needs_no_spread", lambda *a: False)
     given = spark.range(3000).select(F.lit(1).alias("k"), "id").repartition(40, "k")
     lookup = spark.createDataFrame([(k, f"n{k}") for k in range(2000)], "k int, name string")
     # What runs behind the join runs in the join's own tasks.
@@ -67,6 +69,7 @@ def test_queries_with_small_budgets(spark, monkeypatch, name):
     from check_oracle import compare, connect
 
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(skew, "needs_no_spread", lambda *a: False)
     folder = "/root/testdata/sf0.001"
     assert compare(connect(folder), queries()[name](spark, folder), oracle_sql()[name]) is None
 
@@ -185,3 +188,29 @@ def test_ancestry_refuses_a_cycle(spark):
         ancestry(df)
     with pytest.raises(ValueError):
         lineage_of(df, spark.range(1, 2))
+
+
+def test_positions_by_force(spark, rows):
+    data = [(k, i % 7 if k != 3 else None, f"t{i % 5}") for i, k in enumerate([None, 1, 3, 3, 3, 3, 2, 1, 3, 3] * 20)]
+    df = spark.createDataFrame(data, "k int, o int, t string")
+    got = skew.with_positions(df, ["k"], ["o", "t"], "place", ranges=5)
+    none_first = lambda x: (x is not None, x)
+    want = []
+    for key in {r[0] for r in data}:
+        own = sorted((r for r in data if r[0] == key), key=lambda r: (none_first(r[1]), r[2]))
+        want += [(*r, i) for i, r in enumerate(own)]
+    assert rows(got) == sorted(want, key=repr)
+    assert rows(skew.with_positions(df, [], ["k", "o", "t"], "place", ranges=4), "place") == sorted([(i,) for i in range(len(data))], key=repr)
+    assert skew.with_positions(df.limit(0), ["k"], ["o"], "place").count() == 0
+
+
+def test_lookup_takes_known_counts_and_planned_sizes(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1)], "k int, v int")
+    lookup = spark.createDataFrame([(1, "a"), (3, "c")], "k int, w string")
+    plain = rows(skew.lookup_join(df, lookup, ["k"]))
+    assert skew.needs_no_spread(spark.range(50).withColumn("k", F.lit(1)), lookup)
+    assert not skew.needs_no_spread(spark.range(10**9), lookup)
+    monkeypatch.setattr(skew, "needs_no_spread", lambda *a: False)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    counts = df.groupBy("k").count().withColumnRenamed("count", "n")
+    assert rows(skew.lookup_join(df, lookup, ["k"], counts=counts)) == rows(skew.lookup_join(df, lookup, ["k"])) == plain
