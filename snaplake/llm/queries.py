@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import adaptive_scan, bpe, cross_entropy, fixity, html_blocks, language, line_quality, simhash, tiling, toxicity
+from snaplake.llm import (
+    adaptive_scan, bpe, conversations, cross_entropy, fixity, html_blocks, language, line_dedup, line_quality, manifest, simhash, tiling, toxicity,
+)
+from snaplake.llm import oracle
 from snaplake.llm.common import bucket_of, table
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of these methods can be written in SQL; tests compare them with brute force.
+#: What cannot be written in SQL is compared with brute force in the tests.
 SQL: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +23,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def query(build):
     BUILDS[build.__name__] = build
+    if hasattr(oracle, build.__name__):
+        SQL[build.__name__] = getattr(oracle, build.__name__)
     return build
 
 
@@ -104,3 +109,32 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more every document is like those labelled good than like the whole corpus."""
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return cross_entropy.score(table(spark, sf_dir, "documents"), good)
+
+
+@query
+def op11_doubled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: what is wrong with it and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it shares with two others or more."""
+    left = line_dedup.without_shared_lines(table(spark, sf_dir, "documents"), least=20, copies=3)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its way up to the root, and whether what is there now leads to that root."""
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = manifest.leaves_of(docs, "lang", ("doc_id", "source", "lang", "n_chars", "text"), {"n_chars": more}, tampered)
+    proofs, root = manifest.witnessed(leaves)
+    found = manifest.audited(proofs, root)
+    return found.select(
+        "doc_id", F.lower(F.hex("hash")).alias("leaf"), F.lower(F.hex("subroot")).alias("subroot"), F.lit(root).cast("string").alias("root"),
+        F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified",
+    )
