@@ -147,6 +147,17 @@ ENTITY_RULES = (
     ("ControlPerson", ("control_persons",), None, ""),
 )
 
+# entity: column that refers to the entity with the key, description
+ENTITY_TEXTS = {
+    "Firm": (None, "Registered Investment Adviser firm"),
+    "Office": ("Organization CRD#", "Physical or mailing offices of the firm"),
+    "Registration": ("Organization CRD#", "SEC registration status and filing timeline"),
+    "BusinessActivity": ("Organization CRD#", "Types of advisory services, client composition, assets under management"),
+    "PrivateFund": ("Organization CRD#", "Private fund information (hedge, PE, real estate, etc.)"),
+    "Disclosure": ("Organization CRD#", "Regulatory disclosures (disciplinary events, financial, etc.)"),
+    "ControlPerson": ("Organization CRD#", "Persons controlling the advisory firm"),
+}
+
 # ------------------------------------------------------------ source taxonomy
 # type, authority, title, url, collection mode, description
 SOURCE_TAXONOMY = (

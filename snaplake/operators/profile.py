@@ -36,22 +36,24 @@ def _is_numeric(t: T.DataType) -> bool:
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n): each column's distinct values as text, NULL included.
 
-    Columns are unpivoted in chunks and combined map-side.  Values are compared
-    as text, except that both zeros of a floating-point column are one value.
+    Columns of one type are unpivoted together, in chunks, and combined map-side
+    in that type; only distinct values are turned into text.  Both zeros of a
+    floating-point column are one value.
     """
-    columns = list(columns or df.columns)
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-
-    def text(c: str) -> Column:
-        cell = F.col(f"`{c}`")
-        return (cell + F.lit(0).cast("float") if c in floats else cell).cast("string")
-
+    by_type: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if columns is None or f.name in columns:
+            by_type.setdefault(f.dataType.simpleString(), []).append(f.name)
     parts = []
-    for start in range(0, len(columns), CHUNK):
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns[start:start + CHUNK]
-        ])
-        parts.append(df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    for kind, named in by_type.items():
+        # A type that cannot be grouped is compared as text.
+        grouped = kind if not kind.startswith(("map", "variant")) else "string"
+        for start in range(0, len(named), CHUNK):
+            cells = F.array(*[
+                F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast(grouped).alias("value")) for c in named[start:start + CHUNK]
+            ])
+            counts = df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counts.withColumn("value", F.col("value").cast("string")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -277,19 +279,19 @@ def classify_names(names: DataFrame, column: str) -> DataFrame:
 
 
 def entity_attributes(names: DataFrame, column: str) -> DataFrame:
-    """(entity, attribute, key_column): which names each suggested entity takes."""
+    """(entity, attribute, key_column, foreign_key, description): which names each suggested entity takes, and how it refers to the firm."""
     rules = [
-        (entity, name_class_, key, out or "")
+        (entity, name_class_, key, out or "", *fv.ENTITY_TEXTS[entity])
         for entity, classes, key, out in fv.ENTITY_RULES for name_class_ in classes
     ]
     rules = names.sparkSession.createDataFrame(
-        rules, "entity string, name_class string, key_column string, left_out string"
+        rules, "entity string, name_class string, key_column string, left_out string, foreign_key string, description string"
     )
     distinct = classify_names(names.select(column).distinct(), column)
     return (
         distinct.join(F.broadcast(rules), "name_class")
         .filter((F.col("left_out") == "") | ~F.regexp_like(F.col(column), F.col("left_out")))
-        .select("entity", F.col(column).alias("attribute"), "key_column")
+        .select("entity", F.col(column).alias("attribute"), "key_column", "foreign_key", "description")
     )
 
 

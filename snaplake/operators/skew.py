@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snaplake.session import materialise, materialise_counted
+from snaplake.session import materialise, materialise_counted, release
 
 # Rows of one key that a task of a join should get at most, and how many keys may have more.
 ROWS_PER_TASK = 1_000_000
@@ -196,27 +196,33 @@ def with_neighbours(
     return rows.select(*df.columns, *named)
 
 
-def with_positions(df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str, ranges: int | None = None) -> DataFrame:
-    """The place of every row of a key in the given order, from 0, as ``out``.
+def with_positions(
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str, ranges: int | None = None, amount: Column | None = None
+) -> DataFrame:
+    """The place of every row of a key in the given order, from 0, as ``out``; with ``amount``, the sum of it over the rows before.
 
     A row number by key would sort all rows of a hot key in one task.  Rows are
     cut into even ranges of (key, order) and written; the rows of a key in the
     ranges before, summed over at most one row per (key, range), are added to
-    the row number inside a range.  NULL comes first and is a key like any
+    the number inside a range.  NULL comes first and is a key like any
     other.  Rows that are equal in all these columns take their places in any
     order; where they lie spreads them over the ranges.
     """
     partition, order = list(partition), list(order)
-    kept, seen = materialise_counted(df.withColumn("_tie", F.monotonically_increasing_id()), rows=F.count(F.lit(1)))
+    amount = F.lit(1).cast("long") if amount is None else amount.cast("long")
+    kept, seen = materialise_counted(
+        df.withColumns({"_tie": F.monotonically_increasing_id(), "_amount": amount}), rows=F.count(F.lit(1))
+    )
     ranges = ranges or max(1, math.ceil(seen["rows"] / BUCKET_VALUES))
     ranged = materialise(kept.repartitionByRange(ranges, *partition, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    release(kept)
     spots = ["_range", *partition]
     before = W.partitionBy(*(partition or [F.lit(1)])).orderBy("_range")
-    sizes = ranged.groupBy(*spots).agg(F.count(F.lit(1)).alias("_n")).select(
+    sizes = ranged.groupBy(*spots).agg(F.sum("_amount").alias("_n")).select(
         *[F.col(c).alias(f"_of{i}") for i, c in enumerate(spots)], (F.sum("_n").over(before) - F.col("_n")).alias("_before")
     )
     same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(spots)]
-    inside = F.row_number().over(W.partitionBy(*spots).orderBy(*order, "_tie")) - 1
+    inside = F.sum("_amount").over(W.partitionBy(*spots).orderBy(*order, "_tie")) - F.col("_amount")
     return ranged.join(sizes, same).select(*df.columns, (F.col("_before") + inside).alias(out))
 
 

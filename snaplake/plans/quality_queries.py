@@ -1,10 +1,12 @@
 """Checks and profiles."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from snaplake import fixed_values as fv
 from snaplake.operators import diff, normalize, profile, quality
-from snaplake.plans.inputs import ctes, frame, table
+from snaplake.plans.inputs import DuckText, ctes, frame, roster, table
 from snaplake.plans.registry import query
 from snaplake.plans.typing_queries import _FIRM_SQL, _null, _office_sql, _snapshot
 from snaplake.session import materialise
@@ -145,20 +147,16 @@ _LINEITEM = [
     ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"), ("l_tax", "number"),
     ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time"),
 ]
-_ROSTER = [(f'"{h}"', "text") for h in (
-    "Organization CRD#", "Legal Name", "SEC#", "Firm Type", "SEC Current Status", "Umbrella Registration",
-    "5.G.(3) - Total amount of Parallel Assets", "Count of Private Funds - 7B(1)", "Latest ADV Filing Date", "Form Version",
-    "Acquired Firm", "Main Office Street Address 1", "Main Office Private Residence Flag",
-)]
+#: Every column of the roster, all text.
+_ROSTER = [(f'"{n}"', "text") for n in re.findall(r' AS "([^"]+)"', roster(DuckText))]
 _CUSTOMER = [
     ("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"),
 ]
 
 
 def _roster(spark, d):
-    raw = frame(spark, d, "roster").select(*[F.col(f"`{n.strip(chr(34))}`") for n, _ in _ROSTER])
     # A raw extract is stored before it is profiled.
-    return materialise(raw)
+    return materialise(frame(spark, d, "roster"))
 
 
 @query("profile_columns", _profile_sql("lineitem", _LINEITEM))
@@ -300,12 +298,15 @@ def key_discovery(spark, d):
     return profile.key_discovery(frame(spark, d, "roster"), "SEC#")
 
 
+_SAMPLED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
 @query("sample_values", "SELECT column_name, value, CAST(position AS INTEGER) AS position FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, v AS value, row_number() OVER (ORDER BY v) AS position FROM (SELECT DISTINCT {c} AS v FROM orders)"
-    for c in ("o_orderstatus", "o_orderpriority")
+    f"SELECT '{c}' AS column_name, v AS value, row_number() OVER (ORDER BY v) AS position FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM orders)"
+    for c in _SAMPLED
 ) + ") WHERE position <= 5")
 def sample_values(spark, d):
-    return profile.sample_values(profile.value_counts(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]))
+    return profile.sample_values(profile.value_counts(table(spark, d, "orders"), _SAMPLED))
 
 
 @query("version_list", ctes("scored_both") + """

@@ -168,11 +168,13 @@ def priority_rules(spark, d):
 
 
 # ---------------------------------------------------------------------- diff
-_DIFFED = (
-    "name", "total_aum", "has_item_11_disclosure", "registration_status", "organization_type", "priority_category",
-    "employee_count", "provides_financial_planning",
+#: Every column of a scored snapshot but its key and version.
+_ALL = (
+    "name", "total_aum", "discretionary_aum", "individual_hnw_client_aum", "hnw_client_aum", "total_account_count",
+    "discretionary_account_count", "employee_count", "advisory_employee_count", "has_item_11_disclosure",
+    "has_control_complexity", "provides_financial_planning", "advises_individuals_or_small_businesses", "registration_status",
+    "organization_type", "organization_state", "website_address", "priority_category",
 )
-_SLIM = ("firm_id", "registration_status", "organization_type", "provides_financial_planning")
 
 
 def _pair(spark, d, columns):
@@ -189,27 +191,30 @@ def _state_sql(columns) -> str:
     FROM scored_old o FULL JOIN scored_new n ON o.firm_id = n.firm_id) """
 
 
-@query("snapshot_keys", _state_sql(_SLIM[1:]) + "SELECT * FROM states")
+@query("snapshot_keys", _state_sql(_ALL) + "SELECT * FROM states")
 def snapshot_keys(spark, d):
-    return diff.key_changes(*_pair(spark, d, _SLIM[1:]), ["firm_id"])
+    return diff.key_changes(*_pair(spark, d, _ALL), ["firm_id"])
 
 
-@query("diff_summary", _state_sql(_SLIM[1:]) + "SELECT " + ", ".join(
+@query("diff_summary", _state_sql(_ALL) + "SELECT " + ", ".join(
     f"count(*) FILTER (change = '{c}') AS {c}_count" for c in ("added", "removed", "modified", "unchanged")
 ) + " FROM states")
 def diff_summary(spark, d):
-    return diff.diff_summary(diff.key_changes(*_pair(spark, d, _SLIM[1:]), ["firm_id"]))
+    return diff.diff_summary(diff.key_changes(*_pair(spark, d, _ALL), ["firm_id"]))
 
 
-_CELLS = [c for c in _DIFFED if c != "total_aum"]
+def _shown(column: str) -> str:
+    """Amounts print differently in the two engines, so they are compared in whole units."""
+    return f"CAST(round({column}) AS BIGINT)" if column.endswith("_aum") else column
 
 
 @query("snapshot_cells", ctes("scored_old", "scored_new") + " UNION ALL ".join(
-    f"SELECT n.firm_id, '{c}' AS column_name, CAST(o.{c} AS VARCHAR) AS old_value, CAST(n.{c} AS VARCHAR) AS new_value "
-    f"FROM scored_old o JOIN scored_new n ON o.firm_id = n.firm_id WHERE o.{c} IS DISTINCT FROM n.{c}" for c in _CELLS
+    f"SELECT n.firm_id, '{c}' AS column_name, CAST({_shown('o.' + c)} AS VARCHAR) AS old_value, CAST({_shown('n.' + c)} AS VARCHAR) AS new_value "
+    f"FROM scored_old o JOIN scored_new n ON o.firm_id = n.firm_id WHERE {_shown('o.' + c)} IS DISTINCT FROM {_shown('n.' + c)}" for c in _ALL
 ))
 def snapshot_cells(spark, d):
-    return diff.cell_changes(*_pair(spark, d, _CELLS), ["firm_id"])
+    old, new = (df.select("firm_id", *[F.expr(_shown(c)).alias(c) for c in _ALL]) for df in _pair(spark, d, _ALL))
+    return diff.cell_changes(old, new, ["firm_id"])
 
 
 @query("schema_drift", ctes("columns_old", "columns_new") + """
@@ -279,9 +284,8 @@ def _events(spark, d):
     return events.change_events(frame(spark, d, "scored_old"), frame(spark, d, "scored_new"))
 
 
-@query("change_events", _EVENTS + "SELECT * EXCLUDE (rule) FROM change_events")
-def change_events(spark, d):
-    # Amounts print differently in the two engines, so they are compared as numbers.
+def shown_events(found, *more):
+    """Events with their details; amounts print differently in the two engines, so they are compared as numbers."""
     amount = F.col("event_type").contains("AUM")
 
     def shown(side):
@@ -291,12 +295,17 @@ def change_events(spark, d):
             F.when(amount, F.round(value.cast("double"), 2)).alias(f"{side}_amount"),
         ]
 
-    return _events(spark, d).select(
+    return found.select(
         "firm_id", "event_type", F.col("details.field").alias("field"), *shown("old"), *shown("new"),
-        F.col("details.name").alias("name"), F.round("details.change_pct", 9).alias("change_pct"),
+        F.col("details.name").alias("name"), F.round("details.change_pct", 9).alias("change_pct"), *more,
     )
 
 
+@query("change_events", _EVENTS + "SELECT * EXCLUDE (rule) FROM change_events")
+def change_events(spark, d):
+    return shown_events(_events(spark, d))
+
+
 @query("event_counts", _EVENTS + "SELECT event_type, count(*) AS n FROM change_events GROUP BY 1")
 def event_counts(spark, d):
     return events.event_counts(_events(spark, d))
@@ -308,7 +317,7 @@ def events_by_firm(spark, d):
     return events.events_by_firm(_events(spark, d)).withColumn("event_types", F.array_join("event_types", "|"))
 
 
-_QUEUE = _EVENTS + f""", joined AS (
+QUEUE_SQL = _QUEUE = _EVENTS + f""", joined AS (
     SELECT t.firm_id, t.name, t.priority_category, t.acquisition_score, r.firm_id IS NOT NULL AS has_record, types,
         t.priority_category = 'PRIORITY_A' AS is_a,
         CASE WHEN nullif(r.last_researched_at, '') IS NULL THEN t.priority_category = 'PRIORITY_A'
@@ -329,7 +338,7 @@ queue AS (SELECT firm_id, name, priority_category, acquisition_score,
 """
 
 
-def _queue(spark, d):
+def queue_of(spark, d):
     # The scored snapshot is read twice, so it is stored first.
     new = materialise(frame(spark, d, "ranked").filter(F.col("dataset_version") == NEW))
     # Only firms in the queue can give it reasons, so both snapshots are cut to them before they are compared.
@@ -341,11 +350,11 @@ def _queue(spark, d):
 
 @query("refresh_queue", _QUEUE + "SELECT * FROM queue")
 def refresh_queue(spark, d):
-    return _queue(spark, d).orderBy(*events.queue_order()).withColumn("reasons", F.array_join("reasons", "|"))
+    return queue_of(spark, d).orderBy(*events.queue_order()).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query("refresh_queue_head", _QUEUE + """
 SELECT firm_id, action, acquisition_score FROM queue
 ORDER BY action = 'NO_REFRESH_REQUIRED', coalesce(acquisition_score, 0) DESC, firm_id LIMIT 50""")
 def refresh_queue_head(spark, d):
-    return serve.latest_rows(_queue(spark, d), events.queue_order(), 50).select("firm_id", "action", "acquisition_score")
+    return serve.latest_rows(queue_of(spark, d), events.queue_order(), 50).select("firm_id", "action", "acquisition_score")

@@ -15,10 +15,11 @@ from snaplake.operators import enrich, serve
 from snaplake.operators.events import change_events
 from snaplake.plans.inputs import NEW, OLD, ctes, frame, table
 from snaplake.plans.registry import query
-from snaplake.plans.score_queries import EVENTS_SQL
+from snaplake.plans.score_queries import EVENTS_SQL, shown_events
 from snaplake.plans.typing_queries import _FIRM_SQL, _office_sql, _snapshot
 from snaplake.session import materialise, scratch_path
 from snaplake.sinks import tables
+from snaplake.sinks.copy_on_write import read_files, upsert_files
 from snaplake.sources import files, snapshots
 from snaplake.streaming.arrivals import load_arrivals
 
@@ -171,24 +172,41 @@ def history_csv(spark, d):
     return snapshots.scan_csv(spark, path).withColumn("date", date_key(F.col("date").cast("timestamp")))
 
 
-@query("json_export", ctes("research") + "SELECT firm_id, founder_name, last_researched_at FROM research")
+@query("json_export", ctes("research") + "SELECT * FROM research")
 def json_export(spark, d):
-    path = scratch_path(spark, "export")
-    tables.write_json(frame(spark, d, "research").select("firm_id", "founder_name", "last_researched_at"), path)
-    return spark.read.schema("firm_id string, founder_name string, last_researched_at string").json(path)
+    path, research = scratch_path(spark, "export"), frame(spark, d, "research")
+    tables.write_json(research, path)
+    return spark.read.schema(research.schema).json(path)
 
 
-@query("file_bytes", """
-SELECT sha256('name' || chr(10) || string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS byte_hash, 'up' AS kind FROM customer
-UNION ALL SELECT sha256('name' || chr(10) || string_agg(c_name || chr(10), '' ORDER BY c_custkey DESC)), 'down' FROM customer""")
+_CHUNK, _PART = 4096, 1000
+
+
+def _bytes_sql(kind: str, order: str) -> str:
+    """The hash of each file of ``_PART`` keys: lines, chunks of lines by where they begin, the file."""
+    return f"""
+SELECT '{kind}' AS kind, part, sha256(CAST(any_value(size) AS VARCHAR) || ':' || CASE WHEN count(*) = 1 THEN any_value(digest)
+    ELSE sha256(string_agg(digest, '' ORDER BY chunk)) END) AS byte_hash, CAST(any_value(size) AS BIGINT) AS file_size
+FROM (SELECT part, before // {_CHUNK} AS chunk, any_value(size) AS size, sha256(string_agg(sha256(line), '' ORDER BY place)) AS digest
+    FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY part ORDER BY place) - strlen(line) - 1 AS before,
+            sum(strlen(line) + 1) OVER (PARTITION BY part) AS size
+        FROM (SELECT c_custkey // {_PART} AS part, c_name AS line, row_number() OVER (PARTITION BY c_custkey // {_PART} ORDER BY c_custkey {order}) AS place FROM customer
+            UNION ALL SELECT DISTINCT c_custkey // {_PART}, 'name', 0 FROM customer))
+    GROUP BY part, chunk) GROUP BY part"""
+
+
+@query("file_bytes", _bytes_sql("up", "ASC") + " UNION ALL " + _bytes_sql("down", "DESC"))
 def file_bytes(spark, d):
-    """The same rows in another order are another file."""
+    """Files of a thousand keys each; the same rows in another order are another file."""
     found = []
     for kind, order in (("up", F.col("c_custkey").asc()), ("down", F.col("c_custkey").desc())):
         path = scratch_path(spark, "bytes")
-        rows = table(spark, d, "customer").coalesce(1).sortWithinPartitions(order)
-        rows.select(F.col("c_name").alias("name")).write.option("header", True).csv(path)
-        found.append(files.byte_hashes(spark, path).select("byte_hash", F.lit(kind).alias("kind")))
+        rows = table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_custkey", F.expr(f"c_custkey div {_PART}").alias("part"))
+        rows.repartition("part").sortWithinPartitions("part", order).drop("c_custkey").write.option("header", True).partitionBy("part").csv(path)
+        hashes = files.byte_hashes(spark, path, _CHUNK)
+        found.append(hashes.select(
+            F.lit(kind).alias("kind"), F.regexp_extract("file_path", r"part=(\d+)", 1).cast("bigint").alias("part"), "byte_hash", "file_size"
+        ))
     return found[0].unionByName(found[1])
 
 
@@ -257,8 +275,8 @@ def publish_operations(spark, d):
     alerts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("alert_id"), F.col("s_name").alias("message"), F.lit("open").alias("state"))
     tables.publish_keyed(serve.operations_tables(research, sources, runs, alerts), root)
     edited = F.when(F.length("firm_id") % 2 == 0, "EDITED").otherwise(F.col("research_status"))
-    held = materialise(spark.read.parquet(f"{root}/firm_research").withColumn("research_status", edited))
-    held.write.mode("overwrite").parquet(f"{root}/firm_research")
+    held = read_files(spark, f"{root}/firm_research")
+    upsert_files(held.withColumn("research_status", edited), f"{root}/firm_research", serve.FIRM_VERSION)
     again = serve.operations_tables(
         research, sources.withColumns({
             "source_title": F.concat(F.coalesce("source_title", F.lit("")), F.lit(" again")), "source_type": F.lit("other"),
@@ -271,7 +289,7 @@ def publish_operations(spark, d):
         "pipeline_runs": ("run_id", "status", F.col("dataset_version")), "alerts": ("alert_id", "state", F.col("message")),
     }
     return reduce(DataFrame.unionByName, [
-        spark.read.parquet(f"{root}/{name}").select(
+        read_files(spark, f"{root}/{name}").select(
             F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.col(state).alias("state"), fixed.cast("string").alias("fixed")
         ) for name, (key, state, fixed) in shown.items()
     ])
@@ -279,12 +297,13 @@ def publish_operations(spark, d):
 
 @query("change_event_export", EVENTS_SQL + f"""
 , numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY firm_id ORDER BY rule) - 1 AS INTEGER) AS position FROM change_events)
-SELECT firm_id, event_type, position, '{NEW}' AS dataset_version FROM numbered""")
+SELECT * EXCLUDE (rule), '{NEW}' AS dataset_version FROM numbered""")
 def change_event_export(spark, d):
+    """All events of a version, written as JSON and read again with all their details."""
     path = scratch_path(spark, "events")
     found = change_events(frame(spark, d, "scored_old"), frame(spark, d, "scored_new"))
     tables.replace_version(found.withColumn("dataset_version", F.lit(NEW)), path, fmt="json")
-    return spark.read.schema("firm_id string, event_type string, position int, dataset_version string").json(path)
+    return shown_events(spark.read.schema(found.schema.add("dataset_version", "string")).json(path), "position", "dataset_version")
 
 
 @query("raw_replace_by_nothing", ctes("scored_old") + "SELECT firm_id, name, dataset_version FROM scored_old")
@@ -305,8 +324,8 @@ def csv_union(spark, d):
     """Files of one folder with other column orders and a surplus column."""
     path = scratch_path(spark, "csv_union")
     rows = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS extra", "c_custkey % 2 AS half")
-    rows.filter("half = 0").select("id", "name", "half").coalesce(1).write.mode("append").option("header", True).csv(path)
-    rows.filter("half = 1").select("extra", "half", "name", "id").coalesce(1).write.mode("append").option("header", True).csv(path)
+    rows.filter("half = 0").select("id", "name", "half").write.mode("append").option("header", True).csv(path)
+    rows.filter("half = 1").select("extra", "half", "name", "id").write.mode("append").option("header", True).csv(path)
     return snapshots.scan_csv_union(spark, path).select("id", "name", "extra", "half")
 
 

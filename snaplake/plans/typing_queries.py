@@ -306,14 +306,14 @@ def classify_names(spark, d):
 
 
 _RULES_SQL = ", ".join(
-    f"('{e}', '{c}', {('NULL' if k is None else repr(k))}, '{o}')" for e, cs, k, o in fv.ENTITY_RULES for c in cs
+    f"('{e}', '{c}', {', '.join('NULL' if t is None else repr(t) for t in (k, o, *fv.ENTITY_TEXTS[e]))})" for e, cs, k, o in fv.ENTITY_RULES for c in cs
 )
 
 
 @query("entity_groups", ctes("names") + f"""
-SELECT entity, column_name AS attribute, CAST(key_column AS VARCHAR) AS key_column
+SELECT entity, column_name AS attribute, CAST(key_column AS VARCHAR) AS key_column, CAST(foreign_key AS VARCHAR) AS foreign_key, description
 FROM (SELECT DISTINCT column_name, {_CLASS_SQL} AS name_class FROM names) n
-JOIN (VALUES {_RULES_SQL}) r(entity, name_class, key_column, left_out) USING (name_class)
+JOIN (VALUES {_RULES_SQL}) r(entity, name_class, key_column, left_out, foreign_key, description) USING (name_class)
 WHERE left_out = '' OR NOT regexp_matches(column_name, left_out)""")
 def entity_groups(spark, d):
     return profile.entity_attributes(frame(spark, d, "names"), "column_name")

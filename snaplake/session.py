@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="snaplake-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -58,6 +58,15 @@ def clear_scratch(spark: SparkSession) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames, once nothing will read them any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it once to the shared folder.
 
@@ -66,7 +75,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
 
 
 def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snaplake.functions.typing import nan_to_null
 from snaplake.operators.skew import newest_per_key
-from snaplake.session import materialise_counted
+from snaplake.sinks.copy_on_write import upsert_files
 from snaplake.sources.snapshots import VERSION
 
 TARGET_FILE_ROWS = 5_000_000
@@ -100,26 +100,27 @@ def publish(replaced: Mapping[str, DataFrame], kept: Mapping[str, DataFrame], ro
     return counts
 
 
-def publish_keyed(tables: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str]]], root: str) -> dict[str, int]:
-    """Write serving tables whose rows have keys of their own; returns the rows of each.
+def publish_keyed(tables: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str]]], root: str) -> dict[str, dict[str, int]]:
+    """Write serving tables whose rows have keys of their own; returns what changed in each.
 
     For every table: the incoming rows, their keys, and the columns that an
     incoming row changes in a row that is there already.  Without such columns
-    the table keeps what it has and only takes new keys.  The table after the
-    change is written beside the old one first, so it is whole at any time in
-    one of the two places.
+    the table keeps what it has and only takes new keys.  Only files with a changed row
+    are written anew; ``copy_on_write.read_files`` reads the tables.
     """
-    counts = {}
-    for name, (df, keys, update) in tables.items():
-        path, spark = f"{root}/{name}", df.sparkSession
-        after = newest_per_key(df, keys, [F.col(c).desc_nulls_last() for c in df.columns if c not in keys] or [F.lit(1)])
-        if _exists(spark, path):
-            old = spark.read.schema(df.schema).parquet(path)
-            after = upserted(old, after, keys, update) if update else old.unionByName(absent_rows(old, after, keys))
-        kept, seen = materialise_counted(after, rows=F.count(F.lit(1)))
-        kept.write.mode("overwrite").option("maxRecordsPerFile", TARGET_FILE_ROWS).parquet(path)
-        counts[name] = seen["rows"]
-    return counts
+    return {name: upsert_files(df, f"{root}/{name}", keys, update) for name, (df, keys, update) in tables.items()}
+
+
+def save_refresh_queue(queue: DataFrame, root: str, version: str, generated_at: Column) -> dict[str, int]:
+    """Store the refresh queue of a version; firms that are not in it any more leave it.
+
+    The table ``queue`` holds one row per version and firm, ``runs`` when each version's queue was last made.
+    """
+    rows = queue.withColumn(VERSION, F.lit(version))
+    done = upsert_files(rows, f"{root}/queue", [VERSION, "firm_id"], replaced=F.col(VERSION) == version)
+    made = queue.sparkSession.range(1).select(F.lit(version).alias(VERSION), generated_at.alias("generated_at"))
+    upsert_files(made, f"{root}/runs", [VERSION])
+    return done
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

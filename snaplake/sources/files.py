@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplake.functions.keys import FIELD_MARK, NULL_MARK
 from snaplake.functions.typing import iso_timestamp, missing_tokens_to_null
+from snaplake.operators.skew import with_positions
+from snaplake.session import materialise, materialise_counted
 
 ARTIFACT_SCHEMA = T.StructType(
     [
@@ -143,23 +148,64 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("column_count", F.size("column_names").cast("bigint"))
 
 
-def byte_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with the SHA-256 of its bytes, so other line ends or another order are another file.
+def ordered_digest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], digest: str, fan: int = 1024) -> DataFrame:
+    """One digest per key over its ``digest`` texts in order: a tree in which ``fan`` of them become one.
 
-    A file is read whole by one task, of at most 2 GB; ``fingerprint`` takes files of any size
-    and looks at their lines, in whatever order.
+    A single digest stays what it is.  A task holds ``fan`` digests at a time, however many a key has.
+    """
+    keys = list(keys)
+    level, seen = materialise_counted(with_positions(rows.select(*keys, *order, digest), keys, order, "_place"), last=F.max("_place"))
+    level = level.select(*keys, "_place", F.col(digest).alias("_digest"))
+    while (seen["last"] or 0) > 0:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_digest"))), lambda x: x["_digest"]), "")
+        upper = level.groupBy(*keys, F.expr(f"_place div {fan}").alias("_above")).agg(
+            F.when(F.max("_place") > 0, F.sha2(joined, 256)).otherwise(F.max("_digest")).alias("_digest")
+        ).withColumnRenamed("_above", "_place")
+        level, seen = materialise_counted(upper, last=F.max("_place"))
+    return level.select(*keys, F.col("_digest").alias(digest))
+
+
+def byte_hashes(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFrame:
+    """One row per file with a hash of its bytes, so other line ends or another order are another file.
+
+    A file of any size is read in splits by many tasks.  Lines get their offsets from the
+    bytes before them, the lines that begin in the same ``chunk`` bytes are hashed in order, and
+    the chunks' hashes in a tree; the size of the file tells whether its last line ends.  How
+    the file was split leaves no trace.  One line must fit into memory; a file without a byte has no row.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
-    return found.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"),
-        F.sha2("content", 256).alias("byte_hash"),
+    option = ("pathGlobFilter", "*.[cC][sS][vV]")
+    lines = spark.read.option(*option).option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), (F.octet_length("value") + 1).cast("long").alias("_bytes"), F.sha2("value", 256).alias("_hash"),
+    )
+    lines = materialise(lines)
+    split = ["file_path", "_block"]
+    # One row per split of a file.
+    along = W.partitionBy("file_path").orderBy("_block")
+    before = lines.groupBy(*split).agg(F.sum("_bytes").alias("_all")).select(*split, (F.sum("_all").over(along) - F.col("_all")).alias("_before"))
+    inside = F.sum("_bytes").over(W.partitionBy(*split).orderBy("_line")) - F.col("_bytes")
+    placed = lines.withColumn("_inside", inside).join(before, split).withColumn("_chunk", F.floor((F.col("_before") + F.col("_inside")) / chunk))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_line", "_hash"))), lambda x: x["_hash"])
+    chunks = placed.groupBy("file_path", "_chunk").agg(F.sha2(F.array_join(in_order, ""), 256).alias("_digest"))
+    roots = ordered_digest(chunks, ["file_path"], ["_chunk"], "_digest")
+    # Only names and sizes are read here.
+    found = spark.read.format("binaryFile").option(*option).load(path).select(F.col("path").alias("_path"), F.col("length").alias("file_size"))
+    same = F.regexp_replace("_path", "^\\w+:/+", "/") == F.regexp_replace("file_path", "^\\w+:/+", "/")
+    return found.join(roots, same).select(
+        F.element_at(F.split("_path", "/"), -1).alias("file_name"), F.col("_path").alias("file_path"), "file_size",
+        F.sha2(F.concat_ws(":", F.col("file_size").cast("string"), F.col("_digest")), 256).alias("byte_hash"),
     )
 
 
+def dataset_bytes(files: DataFrame) -> DataFrame:
+    """One row for all files of ``byte_hashes``, in the order of their paths."""
+    return ordered_digest(files.withColumn("_all", F.lit(0)), ["_all"], ["file_path"], "byte_hash").select("byte_hash")
+
+
 def dataset_fingerprint(files: DataFrame) -> DataFrame:
-    """One row for a whole extract; the number of files in it is small."""
-    return files.agg(
-        F.count(F.lit(1)).alias("table_count"),
-        F.sum("row_count").alias("row_count"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list("file_hash")), "|"), 256).alias("content_hash"),
-    )
+    """One row for a whole extract, whatever the order and number of its files."""
+    whole = files.agg(F.count(F.lit(1)).alias("table_count"), F.sum("row_count").alias("row_count"))
+    named = files.withColumns({"_all": F.lit(0), "_order": F.col("file_hash")})
+    content = ordered_digest(named, ["_all"], ["_order"], "file_hash").select(F.col("file_hash").alias("content_hash"))
+    # One row on either side.
+    return whole.withColumn("_all", F.lit(0)).join(content.withColumn("_all", F.lit(0)), "_all", "left").drop("_all")
