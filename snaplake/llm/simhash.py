@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm import similar
 from snaplake.llm.common import flat, per_batch, texts_of
 from snaplake.llm.components import components
 from snaplake.operators.skew import lookup_join
@@ -48,9 +47,13 @@ def fingerprint(text: str, words: int = 4) -> int:
         n = len(parts) - words + 1
     else:
         shingles, n = [b" ".join(parts)], 1
-    hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n, ones = len(hashed), np.zeros(64, np.int64)
     # Pieces keep the unpacked bits small for very long texts.
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         ones += np.unpackbits(hashed[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(np.uint64)[0])
@@ -219,14 +222,19 @@ def unique_rows(docs: DataFrame) -> DataFrame:
     """One document of each class of similar texts, with all its columns: the one with the smallest id.
 
     Similar are texts with a five-word Jaccard similarity of 0.8 or more, which is too far apart
-    for a few bits of a fingerprint; see ``similar``.
-    Documents without an id come after all others; those with equal texts count as one.
+    for a few bits of a fingerprint; fingerprints join copies, and ``similar`` finds the rest.
+    Texts, not ids, are what is compared: rows that repeat an id with another text stand for
+    themselves, and of rows equal in id and text one stays.  Documents without an id come after all others.
     """
-    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    keyed = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("__text", F.xxhash64("text"))
-    classes = similar.near_duplicates(keyed.select(F.col("__row").alias("row"), "text"))
-    first = classes.where("row = class").select(F.col("row").alias("__row")).distinct()
-    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row", "__text"]).select(*docs.columns)
+    from snaplake.llm import similar
+
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+    keyed = docs.withColumns(key)
+    classes = similar.near_duplicates(keyed.select(F.col("__text").alias("row"), "text"))
+    lowest = keyed.groupBy("__text").agg(F.min(F.struct("__none", "__id")).alias("low"))
+    first = lowest.join(classes.withColumnRenamed("row", "__text"), "__text").groupBy("class").agg(F.min(F.struct("low.__none", "low.__id", "__text")).alias("r"))
+    names = list(key)
+    return keyed.join(materialise(first.select("r.*")), names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

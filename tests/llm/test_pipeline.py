@@ -8,8 +8,9 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, cross_entropy, language, line_quality, queries, simhash, tiling
-from test_pairs import classes, tiles_by_force
+from snaplake.llm import bpe, cross_entropy, language, line_quality, queries, tiling
+from test_pairs import tiles_by_force
+from test_similar import classes_by_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,7 +83,7 @@ def pipeline_by_force(spark, docs, sf_dir):
     for r in rows:
         pred, score, _ = language.judge([r["text"] or ""], names, theta.astype(np.float32))
         kept += [r] if pred[0] != "und" and score[0] >= 0.5 else []
-    low = classes([(r["doc_id"], simhash.fingerprint(r["text"] or "")) for r in kept])
+    low = classes_by_force([(r["doc_id"], r["text"]) for r in kept])
     kept = [r for r in kept if low[r["doc_id"]] == r["doc_id"]]
     items = [tiling._WORD(r["text"].lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     def leaks(words):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from snaplake.llm import simhash, similar
@@ -52,3 +53,29 @@ def test_lightly_edited_copies_leave_the_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     low = classes_by_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"] for r in simhash.unique_rows(docs).collect()} == {i for i, j in low.items() if i == j}
+
+
+def test_rows_that_repeat_an_id_stand_for_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, b), (5, a), (5, b), (None, a + " more"), (None, None), (9, ""), (5, a), (2, b.upper())]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
+    got = simhash.unique_rows(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[:2] for r in got.collect()) == sorted([(1, b), (5, a), (9, "")])
+    assert simhash.unique_rows(docs.limit(0)).count() == 0
+
+
+def test_bounds_lose_no_link():
+    """Counts by parts, prefixes and sizes allow every pair that links."""
+    rng = random.Random(1)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    for _ in range(300):
+        n = rng.randint(1, 200)
+        one = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        two = np.unique(np.r_[rng.sample(list(one), len(one) - rng.randint(0, len(one) // 5)), np.array([rng.getrandbits(64) for _ in range(rng.randint(0, n // 6))], np.uint64)])
+        if similar.enough(len(np.intersect1d(one, two)), len(one), len(two)):
+            sizes = [np.array([len(x)]) for x in (one, two)]
+            assert similar.near(similar.parts_of(one)[None], sizes[0], similar.parts_of(two)[None], sizes[1]).all()
+            some = rng.sample(list(one), len(one) // 2)
+            for frequent in (none, (np.sort(np.array(some, np.uint64)), np.arange(len(some), dtype=np.int32) + 1)):
+                assert len(np.intersect1d(similar.prefix(one, frequent), similar.prefix(two, frequent)))
