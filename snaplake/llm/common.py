@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +91,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 
 def flat(lists: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(lists) if lists else np.zeros(0, dtype)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Runs of whole groups from rows sorted by ``keys``, which hold no null."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        same = None
+        for k in keys:
+            equal = pc.equal(rows.column(k), rows.column(k)[-1])
+            same = equal if same is None else pc.and_(same, equal)
+        cut = rows.num_rows - pc.sum(same).as_py()
+        held = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+    if held is not None and held.num_rows:
+        yield held

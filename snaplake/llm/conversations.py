@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from snaplake.llm.common import with_package
-from snaplake.llm.manifest import group_key, whole_groups
+from snaplake.llm.common import whole_groups, with_package
+from snaplake.llm.manifest import group_key
 from snaplake.operators.skew import lookup_join, with_positions
 from snaplake.session import materialise
 

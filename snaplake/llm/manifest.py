@@ -26,11 +26,10 @@ from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import with_package
+from snaplake.llm.common import whole_groups, with_package
 from snaplake.operators.skew import with_positions
 from snaplake.session import materialise, materialise_counted
 
@@ -129,26 +128,6 @@ def folded(leaf: bytes, proof: bytes) -> bytes:
     return leaf
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """Runs of whole groups from rows sorted by ``keys``, which hold no null."""
-    held: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        if not rows.num_rows:
-            continue
-        same = None
-        for k in keys:
-            equal = pc.equal(rows.column(k), rows.column(k)[-1])
-            same = equal if same is None else pc.and_(same, equal)
-        cut = rows.num_rows - pc.sum(same).as_py()
-        held = rows.slice(cut)
-        if cut:
-            yield rows.slice(0, cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def blocks(rows: pa.Table, levels: int) -> Iterator[tuple[int, int, int | None]]:
     """(begin, end, levels) of each block; a group's only block is as high as it needs to be."""
     groups, numbers = rows.column("grp").to_pylist(), rows.column("block").to_pylist()

@@ -9,9 +9,10 @@ from snaplake.llm import cross_entropy
 from test_pipeline import losses_by_force
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 50])
-def test_no_word_is_left_out(spark, monkeypatch, hot):
-    monkeypatch.setattr(cross_entropy, "HOT_KEYS", hot)
+@pytest.mark.parametrize("chunk, part", [(2000, 6_000_000), (2, 20_000)])
+def test_no_word_is_left_out(spark, monkeypatch, chunk, part):
+    monkeypatch.setattr(cross_entropy, "CHUNK_TEXTS", chunk)
+    monkeypatch.setattr(cross_entropy, "SLICE_BYTES", part)
     rng = random.Random(6)
     # 45,000 words that occur twice or more, in two documents each.
     words = [f"w{i}" for i in range(45_000)]
