@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snaplake.operators.skew import with_positions
 from snaplake.session import materialise
 
 RANGE_BYTES, FANOUT = 65_536, 16
@@ -30,24 +31,32 @@ def warc_record(url: Column, record_id: Column, payload: Column) -> Column:
     """A response record with its header, as bytes."""
     body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
     header = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), record_id.cast("string"),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(record_id.cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "),
         F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(F.encode(header, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def laid_out(records: DataFrame, file: str, order: str, record: str) -> DataFrame:
-    """Adds ``offset``, where each record begins in its file; a file must hold a bounded number of records."""
-    before = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum(F.octet_length(record).cast("long")).over(before), F.lit(0)))
+def described(records: DataFrame, record: str = "record") -> DataFrame:
+    """``hash`` and ``size`` of every record in the place of its bytes, which need not move any more."""
+    own = F.coalesce(F.col(record), F.encode(F.lit(""), "UTF-8"))
+    return records.withColumns({"hash": F.sha2(own, 256), "size": F.octet_length(own).cast("long")}).drop(record)
+
+
+def laid_out(records: DataFrame, file: str, order: str) -> DataFrame:
+    """Adds ``offset``, where each of the ``described`` records begins in its file: by ``order``, null first, then by hash.
+
+    Records are written in the order of their contents, not of how they arrive, and a file may hold any number of them.
+    """
+    return materialise(with_positions(records, [file], [order, "hash"], "offset", amount=F.col("size")))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, hash) of every record of a replica; ``records`` has file, offset and record bytes."""
+    """(file, offset, hash) of every record of a replica; ``records`` has file, offset and record bytes, or their hash."""
+    known = F.sha2(F.coalesce("record", F.encode(F.lit(""), "UTF-8")), 256) if "record" in records.columns else F.col("hash")
     found = records.where("file IS NOT NULL AND offset IS NOT NULL").select(
-        F.col("file").cast("string").alias("file"), F.col("offset").cast("long").alias("offset"),
-        F.sha2(F.coalesce("record", F.encode(F.lit(""), "UTF-8")), 256).alias("hash"),
+        F.col("file").cast("string").alias("file"), F.col("offset").cast("long").alias("offset"), known.alias("hash"),
     )
     return materialise(found.distinct())
 

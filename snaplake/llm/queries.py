@@ -46,12 +46,14 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC files of 500 records, against a replica in which some records are damaged and some are lost."""
     record = fixity.warc_record(F.col("url"), F.col("page_id"), F.col("html"))
-    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select(
-        F.col("page_id").cast("long").alias("page_id"), F.floor(F.col("page_id") / 500).cast("string").alias("file"), record.alias("record")
+    # Pages without an id have a file of their own.
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.floor(F.col("page_id") / 500).cast("string"), F.lit("unnumbered")).alias("file"),
+        record.alias("record"),
     )
-    ours = fixity.laid_out(pages, "file", "page_id", "record")
     spoiled = F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.encode(F.lit("\u0001"), "UTF-8"), F.expr("substring(record, length(record) - 3, 4)"))
-    theirs = ours.where("page_id % 211 <> 7").withColumn("record", F.when(F.col("page_id") % 97 == 13, spoiled).otherwise(F.col("record")))
+    ours = fixity.laid_out(fixity.described(pages.withColumn("spoiled", F.sha2(spoiled, 256))), "file", "page_id")
+    theirs = ours.where("page_id IS NULL OR page_id % 211 <> 7").withColumn("hash", F.when(F.col("page_id") % 97 == 13, F.col("spoiled")).otherwise(F.col("hash")))
     return fixity.audit(ours, theirs).join(ours.select("file", "offset", "page_id"), ["file", "offset"], "left").select("page_id", "file", "offset", "kind")
 
 

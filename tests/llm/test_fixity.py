@@ -38,6 +38,20 @@ def test_odd_rows(spark):
     assert fixity.audit(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_layout_does_not_depend_on_the_order_of_rows(spark):
+    """Repeated ids, none at all, and a very long record; offsets are running sums."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(30)]), rng.randbytes(rng.randrange(40))) for _ in range(400)] + [(7, b"x" * 2_000_000), (8, None)]
+    given = spark.createDataFrame([(i, r, "f", "x") for i, r in rows], "id long, record binary, file string, offset string").drop("offset")
+    first = fixity.laid_out(fixity.described(given), "file", "id")
+    for other in (given.repartition(7), given.orderBy("record"), given.repartition(3, "id")):
+        assert fixity.audit(first, fixity.laid_out(fixity.described(other), "file", "id")).count() == 0
+    at = 0
+    for r in sorted(first.collect(), key=lambda r: (r["id"] is not None, r["id"] or 0, r["hash"])):
+        assert r["offset"] == at
+        at += r["size"]
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     ids = [r["page_id"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
