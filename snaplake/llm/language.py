@@ -27,7 +27,6 @@ ROWS_PER_LANGUAGE, SHARES = 1536, 32
 #: Trigrams overlap, so a likelihood counts every letter about three times.
 OVERLAP = 3.0
 PENALTY = 4.0
-MOST_LANGUAGES = 3
 ROUNDS = 10
 #: Characters that are counted at once.
 PORTION = 200_000
@@ -139,13 +138,15 @@ def mixtures(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     # One language: the likeliest; more: the leading ones of the full mixture.
     best = np.eye(langs, dtype=np.float32)[alone.argmax(axis=1)]
     value = alone.max(axis=1) / OVERLAP
-    for k in range(2, min(langs, MOST_LANGUAGES) + 1):
+    for k in range(2, langs + 1):
         allowed = np.zeros_like(whole)
         np.put_along_axis(allowed, order[:, :k], 1, axis=1)
         trial = fitted(np.where(allowed > 0, np.maximum(whole, 1e-3), 0), ROUNDS // 2)
         score = (counts * np.log(np.maximum(trial @ theta, 1e-12))).sum(axis=1) / OVERLAP
         score -= PENALTY * (k - 1) * np.log(n[:, 0] + 1)
         better = score > value
+        if not better.any():
+            break
         best[better], value[better] = trial[better], score[better]
     return best
 
