@@ -25,15 +25,9 @@ from pyspark.sql import functions as F
 from snaplake.llm.common import per_batch, texts_of
 
 #: Elements whose content is no text of the page, up to their end tag whatever stands between.
-_RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(_RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+[^>]*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[/!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S | re.I,
-)
+_RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math"))
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -210,6 +204,74 @@ def _hint(name: str, attributes: str, around: int) -> int:
     return -1 if around == -1 and name not in ("main",) else hint
 
 
+class _Tags:
+    """Where tags end; a quote hides what ends a tag, and one that is never closed hides nothing.
+
+    Each quote is looked at once for the whole page, whatever tags it may belong to.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.known: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        passed = []
+        while at not in self.known:
+            passed.append(at)
+            hit = _QUOTE_OR_END.search(self.page, at) if at <= self.last else None
+            if hit is None:
+                found = -1
+                break
+            if hit[0] == ">":
+                found = hit.start()
+                break
+            closed = self.page.find(hit[0], hit.end())
+            if closed < 0:
+                found = -1
+                break
+            at = closed + 1
+        else:
+            found = self.known[at]
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+    def plain_end(self, at: int) -> int:
+        return self.page.find(">", at) if at <= self.last else -1
+
+
+def tokens(page: str):
+    """(begin, end, name, closing, attributes) of every tag; comments, declarations and skipped elements have no name.
+
+    A skipped element (a script, say) is one token up to its end tag, with ``closing`` set.
+    """
+    tags, at, low = _Tags(page), page.find("<"), None
+    while at >= 0:
+        end, told = -1, None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end, told = (end + 3 if end >= 0 else len(page)), ("", False, "")
+        elif m := _NAME.match(page, at):
+            name, found = m[2].lower(), tags.end(m.end())
+            if found >= 0 and not m[1] and name in _RAW:
+                low = page.lower() if low is None else low
+                close = low.find("</" + name, found + 1)
+                close = tags.plain_end(close) if close >= 0 else -1
+                end, told = (close + 1 if close >= 0 else len(page)), ("", True, "")
+            else:
+                whole = found >= 0
+                found = found if whole else tags.plain_end(m.end())
+                if found >= 0:
+                    # An end tag with a broken quote names nothing.
+                    end, told = found + 1, (name, bool(m[1]), page[m.end() : found]) if whole or not m[1] else ("", False, "")
+        elif page[at + 1 : at + 2] in ("/", "!", "?"):
+            end = tags.plain_end(at) + 1
+            told = ("", False, "") if end > 0 else None
+        if told is not None:
+            yield at, end, *told
+        at = page.find("<", end if told is not None else at + 1)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """(text, words in links, kind, hint) of every text block, in page order."""
     found: list[tuple[str, int, int, int]] = []
@@ -245,15 +307,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                 break
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        add(page[at : token.start()])
-        at = token.end()
-        name = token[3] or token[6]
+    for begin, end, name, ends, attributes in tokens(page):
+        add(page[at:begin])
+        at = end
         if not name:
-            if token[1]:
+            if ends:
                 end_block()
             continue
-        name, ends, attributes = name.lower(), token[2] or token[5], token[4] or token[7] or ""
         around = stack[-1][1] if stack else 0
         if name in _INLINE or name == "br":
             if name == "br":

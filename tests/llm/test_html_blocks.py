@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from snaplake.llm import html_blocks, queries
 
@@ -65,3 +66,33 @@ def test_odd_rows(spark):
     rows = html_blocks.extract(pages).collect()
     assert sorted((str(r["page_id"]), r["text"]) for r in rows) == [("1", ""), ("2", ""), ("2", ""), ("None", "x")]
     assert html_blocks.extract(pages.limit(0)).count() == 0
+
+
+def features_by_force(found):
+    words, density = [0], [0.0]
+    for t, linked, *_ in found:
+        words.append(len(t.split()))
+        density.append(min(1.0, linked / max(1, words[-1])))
+    words, density = words + [0], density + [0.0]
+    return [[words[i], density[i], words[i + 1], density[i + 1], words[i + 2], density[i + 2], *found[i][2:]] for i in range(len(found))]
+
+
+def test_features_by_force():
+    page = f"<nav><a href=1>One two</a> three</nav><article><h1>Four</h1><p>{PROSE} <a>link in it</a></p><ul><li><a>x</a></ul></article>"
+    found = html_blocks.blocks(page)
+    assert [b[0] for b in found][:2] == ["One two three", "Four"]
+    assert html_blocks.block_features(found).tolist() == features_by_force(found)
+
+
+def test_broken_quotes_stay_linear():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        for piece in ('<a b="', "<script x='", "</script", "<p class='a\"", "<!-- "):
+            html_blocks.main_text(f"<p>{PROSE}</p>" + piece * n + ">", TREE)
+        return time.process_time() - start
+
+    assert text(f"<p>{PROSE}</p>" + '<a b="' * 3).startswith(PROSE)
+    seconds(500)
+    assert seconds(40_000) < 60 * max(seconds(2_000), 0.005)
