@@ -1,6 +1,7 @@
 """Language, quality and toxicity: parts against brute force, wholes by held-out accuracy."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -184,3 +185,48 @@ def test_toxicity_odd_rows_and_disguises(spark):
     assert max(score[i] for i in (1003, 1004, 1005, 1006, None)) < 0.3
     assert {r["score"] < 0.01 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {True}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_every_set_of_languages_by_enumeration():
+    """A text of four languages keeps all four: no smaller set has a better penalised likelihood."""
+    rng = np.random.default_rng(3)
+    theta = rng.dirichlet(np.full(60, 0.1), 5).astype(np.float32)
+    table = np.zeros((5, language.BUCKETS), np.float32)
+    table[:, :60] = np.maximum(theta, 1e-5)
+    table /= table.sum(axis=1, keepdims=True)
+    for size in (1, 2, 4, 5):
+        counts = np.zeros((1, language.BUCKETS), np.float32)
+        counts[0] = sum(rng.multinomial(6000 // size, table[i].astype(float) / table[i].astype(float).sum()) for i in range(size))
+        found = language.mixtures(counts, table)[0]
+        values = {}
+        for k in range(1, 6):
+            for chosen in itertools.combinations(range(5), k):
+                shares = np.full(k, 1 / k)
+                for _ in range(200):
+                    p = shares @ table[list(chosen)]
+                    shares = shares * (table[list(chosen)] @ (counts[0] / np.maximum(p, 1e-12))) / counts.sum()
+                value = (counts[0] * np.log(np.maximum(shares @ table[list(chosen)], 1e-12))).sum() / language.OVERLAP
+                values[chosen] = value - language.PENALTY * (k - 1) * np.log(counts.sum() + 1)
+        assert tuple(np.flatnonzero(found > 0)) == max(values, key=values.get) == tuple(range(size))
+
+
+def test_language_stage_rejects_noise_and_unlearned_scripts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    noise = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(k)) for k in (5, 20, 200)]
+    odd = [*noise, "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί", "12345", "x " * 300_000]
+    more = docs.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language.recognised_rows(more, language.fit(docs)).collect()}
+    assert not kept & {-1, -2, -3, -4, -5}
+    plain = {r["doc_id"] for r in docs.where("length(text) > 200").collect()}
+    assert len(plain - kept) <= 0.01 * len(plain)
+
+
+def test_long_documents_are_learned_from(spark):
+    good, bad = "A quiet sentence that reads well from its start to its end.", "BUY!!! $$$ NOW >>> click 99%"
+    rows = [(i, "\n".join([good if i % 2 else bad] * 1000)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = line_quality.fit(docs, labels)
+    low, high = line_quality.judge([bad, good], model)[0]
+    assert low < 0.5 < high

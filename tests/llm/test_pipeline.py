@@ -81,8 +81,8 @@ def pipeline_by_force(spark, docs, sf_dir):
     names, theta = language.fit(docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows])))
     kept = []
     for r in rows:
-        pred, score, _ = language.judge([r["text"] or ""], names, theta.astype(np.float32))
-        kept += [r] if pred[0] != "und" and score[0] >= 0.5 else []
+        pred, score, _, gain = language.judged([r["text"] or ""], names, theta.astype(np.float32))
+        kept += [r] if pred[0] != "und" and score[0] >= 0.5 and gain[0] >= language.LEAST_GAIN else []
     low = classes_by_force([(r["doc_id"], r["text"]) for r in kept])
     kept = [r for r in kept if low[r["doc_id"]] == r["doc_id"]]
     items = [tiling._WORD(r["text"].lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
