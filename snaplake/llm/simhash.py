@@ -229,11 +229,11 @@ def unique_rows(docs: DataFrame) -> DataFrame:
     from snaplake.llm import similar
 
     key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
-    keyed = docs.withColumns(key)
-    classes = similar.near_duplicates(keyed.select(F.col("__text").alias("row"), "text"))
-    lowest = keyed.groupBy("__text").agg(F.min(F.struct("__none", "__id")).alias("low"))
-    first = lowest.join(classes.withColumnRenamed("row", "__text"), "__text").groupBy("class").agg(F.min(F.struct("low.__none", "low.__id", "__text")).alias("r"))
     names = list(key)
+    keyed = docs.withColumns(key)
+    numbered = keyed.withColumn("__row", F.xxhash64(*names))
+    classes = similar.near_duplicates(numbered.select(F.col("__row").alias("row"), "text"))
+    first = numbered.select("__row", F.struct(*names).alias("r")).join(classes.withColumnRenamed("row", "__row"), "__row").groupBy("class").agg(F.min("r").alias("r"))
     return keyed.join(materialise(first.select("r.*")), names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 

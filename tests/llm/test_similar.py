@@ -65,17 +65,28 @@ def test_rows_that_repeat_an_id_stand_for_their_texts(spark):
     assert simhash.unique_rows(docs.limit(0)).count() == 0
 
 
+def test_fine_counts_are_lower_bounds():
+    rng = np.random.default_rng(5)
+    for n in (300, 700, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        two = np.unique(np.r_[one[rng.random(len(one)) < 0.7], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)])
+        differ = len(np.setxor1d(one, two))
+        assert 0.2 * differ < similar.apart(similar.fine_parts_of(one), similar.fine_parts_of(two)) <= differ
+        assert similar.apart(similar.fine_parts_of(one), similar.fine_parts_of(one[:200])) == 0
+
+
 def test_bounds_lose_no_link():
     """Counts by parts, prefixes and sizes allow every pair that links."""
     rng = random.Random(1)
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-    for _ in range(300):
-        n = rng.randint(1, 200)
+    for _ in range(200):
+        n = rng.choice([rng.randint(1, 200), rng.randint(900, 1300)])
         one = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
         two = np.unique(np.r_[rng.sample(list(one), len(one) - rng.randint(0, len(one) // 5)), np.array([rng.getrandbits(64) for _ in range(rng.randint(0, n // 6))], np.uint64)])
         if similar.enough(len(np.intersect1d(one, two)), len(one), len(two)):
             sizes = [np.array([len(x)]) for x in (one, two)]
             assert similar.near(similar.parts_of(one)[None], sizes[0], similar.parts_of(two)[None], sizes[1]).all()
+            assert similar.link_left(len(one), similar.fine_parts_of(one), len(two), similar.fine_parts_of(two))
             some = rng.sample(list(one), len(one) // 2)
             for frequent in (none, (np.sort(np.array(some, np.uint64)), np.arange(len(some), dtype=np.int32) + 1)):
                 assert len(np.intersect1d(similar.prefix(one, frequent), similar.prefix(two, frequent)))
