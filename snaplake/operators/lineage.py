@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.operators.skew import lookup_join, with_neighbours
-from snaplake.session import materialise, materialise_counted
+from snaplake.session import materialise, materialise_counted, release
 
 MAX_ROUNDS = 40
 
@@ -95,6 +95,63 @@ def ancestry(versions: DataFrame, key: str = "id", parent: str = "parent") -> Da
     raise ValueError(f"a chain is longer than 2**{MAX_ROUNDS} versions")
 
 
+def intervals(versions: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """(key, begin, size, depth) of every version: its place in a walk that visits a version before its children, by key.
+
+    ``size`` counts a version and its descendants, so those of v lie from begin to begin + size.
+    The walk is a list in which every version is entered and left once; each element knows
+    the next one from its first child, next sibling or parent, and pointers are doubled until
+    they reach the end, adding up what they pass.  There are two rows per version in each of
+    log2 rounds and no pairs, whatever the shape.
+    """
+    known = versions.select(F.col(key).alias("v")).distinct()
+    linked = lookup_join(versions.select(F.col(key).alias("v"), F.col(parent).alias("_p")), known.select(F.col("v").alias("_p"), F.lit(True).alias("_there")), ["_p"])
+    nodes = linked.select("v", F.when(F.col("_there"), F.col("_p")).alias("p"))
+    # Roots are each other's siblings.
+    nodes, seen = materialise_counted(with_neighbours(nodes, ["p"], ("v",), F.col("v"), None, "sibling"), n=F.count(F.lit(1)))
+    eldest = nodes.where("p IS NOT NULL").groupBy(F.col("p").alias("v")).agg(F.min("v").alias("child"))
+    enter = lookup_join(nodes, eldest, ["v"]).select(
+        "v", F.lit(False).alias("left"), F.coalesce("child", "v").alias("to"), F.col("child").isNull().alias("to_left"),
+        F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper"),
+    )
+    leave = nodes.select(
+        "v", F.lit(True).alias("left"), F.coalesce("sibling", "p").alias("to"), (F.col("sibling").isNull() & F.col("p").isNotNull()).alias("to_left"),
+        F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"),
+    )
+    walk, left = materialise_counted(enter.unionByName(leave), open=F.count("to"))
+    for _ in range((2 * seen["n"]).bit_length() + 1):
+        if not left["open"]:
+            break
+        ahead = walk.select(
+            F.col("v").alias("to"), F.col("left").alias("to_left"), F.col("to").alias("_to"), F.col("to_left").alias("_to_left"),
+            F.col("entered").alias("_entered"), F.col("deeper").alias("_deeper"),
+        )
+        moved = walk.join(ahead, ["to", "to_left"], "left").select(
+            "v", "left", F.col("_to").alias("to"), F.coalesce("_to_left", F.lit(False)).alias("to_left"),
+            (F.col("entered") + F.coalesce("_entered", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_deeper", F.lit(0))).alias("deeper"),
+        )
+        before = walk
+        walk, left = materialise_counted(moved, open=F.count("to"))
+        release(before)
+    if left["open"]:
+        raise ValueError("a version is its own ancestor")
+    ends = walk.groupBy("v").agg(
+        F.max(F.when(~F.col("left"), F.col("entered"))).alias("here"), F.max(F.when(F.col("left"), F.col("entered"))).alias("behind"),
+        F.max(F.when(~F.col("left"), F.col("deeper"))).alias("rise"),
+    )
+    return ends.select(
+        F.col("v").alias(key), (F.lit(seen["n"]) - F.col("here")).alias("begin"), (F.col("here") - F.col("behind")).alias("size"), (-F.col("rise")).alias("depth")
+    )
+
+
+def are_ancestors(labels: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+    """``pairs`` (ancestor, descendant) with ``related``: whether the first is above the second, by ``intervals`` alone."""
+    side = lambda name: labels.select(F.col(key).alias(name), F.struct("begin", "size").alias(f"_{name}"))
+    both = lookup_join(lookup_join(pairs, side("ancestor"), ["ancestor"]), side("descendant"), ["descendant"])
+    above = (F.col("_ancestor.begin") < F.col("_descendant.begin")) & (F.col("_descendant.begin") < F.col("_ancestor.begin") + F.col("_ancestor.size"))
+    return both.select(*pairs.columns, F.coalesce(above, F.lit(False)).alias("related"))
+
+
 def broken_links(versions: DataFrame, key: str, links: dict[str, str]) -> DataFrame:
     """(id, link, target) for each link whose target version does not exist."""
     known = versions.select(F.col(key).alias("target"))

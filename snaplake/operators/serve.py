@@ -15,6 +15,7 @@ from snaplake.functions.labels import UNKNOWN, money_label, percent_label, text_
 from snaplake.functions.typing import lenient_flag
 from snaplake.operators.rollup import category_counts
 from snaplake.operators.skew import lookup_join, newest_per_key, with_neighbours
+from snaplake.session import materialise
 from snaplake.sources.snapshots import VERSION
 
 FIRM_VERSION = ["firm_id", VERSION]
@@ -258,9 +259,10 @@ def dossier_lines(
     stay one line per row.  Order by (firm_id, section, line_no).
     """
     kept = [c for c in research.columns if c not in FIRM_VERSION]
-    facts = scored.join(
+    # Written once: its text lines and both kinds of source lines are made from it.
+    facts = materialise(scored.join(
         research.select(*FIRM_VERSION, *[F.col(c).alias(f"r_{c}") for c in kept]), FIRM_VERSION
-    )
+    ))
     have = set(facts.columns)
 
     def text(prefix: str) -> Callable[[str, str], Column]:

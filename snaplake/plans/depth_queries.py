@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.operators import diff, events, inclusion
+from snaplake.operators import diff, events, inclusion, lineage, sketches
 from snaplake.plans.inputs import NEW, NOW, ctes, frame, table
 from snaplake.plans.registry import query
 from snaplake.plans.score_queries import QUEUE_SQL, queue_of
@@ -127,3 +127,63 @@ def snapshot_cells_by_hash(spark, d):
         frame(spark, d, side).select("firm_id", *_WIDE).withColumn("total_aum", F.round("total_aum").cast("bigint")) for side in ("scored_old", "scored_new")
     )
     return diff.cell_changes_by_hash(old, new, ["firm_id"])
+
+
+# ----------------------------------------------------------------- versions
+_NUMBERS_OF = ("employee_count", "total_account_count", "advisory_employee_count")
+_TEXTS_OF = ("firm_id", "name", "registration_status", "organization_type", "website_address")
+
+
+@query("profile_of_versions", ctes("scored_both") + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(2 AS BIGINT) AS versions, count(*) AS total_rows, count(*) - count({c}) AS null_count,
+    {f"CAST(min({c}) AS DOUBLE)" if c in _NUMBERS_OF else "CAST(NULL AS DOUBLE)"} AS low,
+    {f"CAST(max({c}) AS DOUBLE)" if c in _NUMBERS_OF else "CAST(NULL AS DOUBLE)"} AS high, true AS near_enough FROM scored_both"""
+    for c in _NUMBERS_OF + _TEXTS_OF))
+def profile_of_versions(spark, d):
+    """Two versions profiled one by one and stored; what both hold comes from the stored sketches.
+
+    Estimates are not defined to the last digit; that distinct values lie within 8 % and the median's rank within 3 % is.
+    """
+    path, columns = scratch_path(spark, "sketches"), [*_NUMBERS_OF, *_TEXTS_OF]
+    for side in ("scored_old", "scored_new"):
+        rows = frame(spark, d, side)
+        tables.replace_version(sketches.column_sketches(rows.select(*columns), side), path)
+    found = sketches.merged_profile(spark.read.parquet(path))
+    both = materialise(frame(spark, d, "scored_both").select(*columns))
+    cells = both.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if c in _NUMBERS_OF else F.lit(None).cast("double")).alias("number"))
+        for c in columns])))
+    exact = cells.join(F.broadcast(found.select("column_name", "median")), "column_name").groupBy("column_name").agg(
+        F.countDistinct("value").alias("distinct"), F.avg(F.when(F.col("number") < F.col("median"), 1.0).otherwise(0.0)).alias("below"),
+        F.avg(F.when(F.col("number") <= F.col("median"), 1.0).otherwise(0.0)).alias("upto"),
+    )
+    near = (F.abs(F.col("distinct_estimate") - F.col("distinct")) <= 0.08 * F.col("distinct")) & (
+        F.col("median").isNull() | ((F.col("below") <= 0.53) & (F.col("upto") >= 0.47))
+    )
+    return found.join(exact, "column_name").select(
+        "column_name", "versions", "total_rows", "null_count", "low", "high", near.alias("near_enough")
+    )
+
+
+_WALK = ctes("lineage").replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (
+SELECT id, [id] AS path, CAST(0 AS BIGINT) AS depth FROM lineage WHERE parent IS NULL OR parent NOT IN (SELECT id FROM lineage)
+UNION ALL SELECT l.id, list_append(w.path, l.id), w.depth + 1 FROM lineage l JOIN walk w ON l.parent = w.id),
+sizes AS (SELECT id, count(*) AS size FROM (SELECT unnest(path) AS id FROM walk) GROUP BY id),
+labels AS (SELECT id, row_number() OVER (ORDER BY path) - 1 AS "begin", size, depth FROM walk JOIN sizes USING (id))
+"""
+
+
+@query("lineage_intervals", _WALK + "SELECT * FROM labels")
+def lineage_intervals(spark, d):
+    return lineage.intervals(frame(spark, d, "lineage").select("id", "parent"))
+
+
+@query("lineage_tests", _WALK + """
+SELECT a.id AS ancestor, w.id AS descendant, list_contains(w.path, a.id) AND a.id <> w.id AS related
+FROM lineage a JOIN walk w ON w.id IN (a.id + 1, a.id * 2, a.id * 3 + 1)""")
+def lineage_tests(spark, d):
+    """Whether a version is above its followers by number, without a pair of the closure."""
+    versions = frame(spark, d, "lineage").select("id", "parent")
+    asked = versions.select(F.col("id").alias("ancestor"), F.explode(F.array_distinct(F.array(F.col("id") + 1, F.col("id") * 2, F.col("id") * 3 + 1))).alias("descendant"))
+    asked = asked.join(versions.select(F.col("id").alias("descendant")), "descendant", "left_semi")
+    return lineage.are_ancestors(lineage.intervals(versions), asked).select("ancestor", "descendant", "related")

@@ -9,7 +9,7 @@ from conftest import plan_text
 from pyspark.sql import functions as F
 
 from snaplake import session
-from snaplake.operators import diff, inclusion, serve
+from snaplake.operators import diff, inclusion, lineage, profile, serve, sketches
 from snaplake.session import materialise, release
 from snaplake.sinks import copy_on_write as cow
 from snaplake.sinks import directories, tables
@@ -233,3 +233,52 @@ def test_a_cluster_on_one_machine_is_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session)
+
+
+# ------------------------------------------------------------------ lineage
+def test_intervals_by_force(spark):
+    rng = random.Random(5)
+    parents = {i: rng.choice([None, rng.randrange(i) if i else None, 10_000 + i]) if rng.random() < 0.2 else (rng.randrange(i) if i else None) for i in range(300)}
+    parents |= {400 + i: 399 + i for i in range(1, 80)} | {400: None}
+    df = spark.createDataFrame(list(parents.items()), "id long, parent long")
+    got = {r["id"]: (r["begin"], r["size"], r["depth"]) for r in lineage.intervals(df).collect()}
+    children, want = {}, {}
+    for i, p in parents.items():
+        children.setdefault(p if p in parents else None, []).append(i)
+
+    def walk(i, at, depth):
+        end = at + 1
+        for c in sorted(children.get(i, [])):
+            end = walk(c, end, depth + 1)
+        want[i] = (at, end - at, depth)
+        return end
+
+    at = 0
+    for root in sorted(children[None]):
+        at = walk(root, at, 0)
+    assert got == want
+    assert lineage.intervals(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        lineage.intervals(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long"))
+
+
+def test_merged_sketches_answer_for_all_versions(spark):
+    parts = [spark.range(1000 * i, 1000 * i + 5000).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 50).alias("v"), F.lit("x").alias("t"), F.lit(None).cast("double").alias("none")) for i in range(3)]
+    stored = None
+    for i, df in enumerate(parts):
+        one = sketches.column_sketches(df.withColumn("dataset_version", F.lit(f"v{i}")), f"v{i}")
+        stored = one if stored is None else stored.unionByName(one)
+    got = {r["column_name"]: r for r in sketches.merged_profile(stored).collect()}
+    assert set(got) == {"k", "v", "t", "none"}
+    assert abs(got["k"]["distinct_estimate"] - 7000) < 500 and got["t"]["distinct_estimate"] == 1
+    assert (got["k"]["low"], got["k"]["high"], got["k"]["total_rows"], got["v"]["null_count"]) == (0, 6999, 15000, 3750)
+    assert abs(got["k"]["median"] - 3500) < 400 and got["none"]["median"] is None and got["none"]["distinct_estimate"] == 0
+    two = sketches.merged_profile(stored.where("dataset_version <> 'v2'"))
+    assert {r["versions"] for r in two.collect()} == {2}
+
+
+def test_row_fingerprints_take_what_a_grouping_takes_as_equal(spark):
+    rows_ = [(0.0, None, [1], {"a": 1, "b": 2}), (-0.0, None, [1], {"b": 2, "a": 1}), (None, 0.0, [], {}), (None, 0.0, None, {}), (float("nan"), 1.0, [1], None), (float("nan"), 1.0, [1], None)]
+    df = spark.createDataFrame(rows_, "x double, y double, z array<int>, m map<string,int>")
+    assert tuple(profile.row_uniqueness(df).first()) == (6, 4, 2)
+    assert tuple(profile.row_uniqueness(df.limit(0)).first()) == (0, 0, 0)
