@@ -44,3 +44,8 @@ def source_address(source_type: Column, website: Column, taxonomy_url: Column) -
 def unique_in_order(items: Column) -> Column:
     """Each item of a list once, where it first stood."""
     return F.array_distinct(items)
+
+
+def plain_path(uri: Column) -> Column:
+    """A path or name as files have it, from the form of a URI in which the scan's metadata holds it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplake.functions.keys import FIELD_MARK, NULL_MARK
+from snaplake.functions.text import plain_path
 from snaplake.functions.typing import iso_timestamp, missing_tokens_to_null
 from snaplake.operators.skew import with_positions
 from snaplake.session import materialise, materialise_counted
@@ -189,11 +190,11 @@ def byte_hashes(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFra
     chunks = placed.groupBy("file_path", "_chunk").agg(F.sha2(F.array_join(in_order, ""), 256).alias("_digest"))
     roots = ordered_digest(chunks, ["file_path"], ["_chunk"], "_digest")
     # Only names and sizes are read here.
-    found = spark.read.format("binaryFile").option(*option).load(path).select(F.col("path").alias("_path"), F.col("length").alias("file_size"))
-    same = F.regexp_replace("_path", "^\\w+:/+", "/") == F.regexp_replace("file_path", "^\\w+:/+", "/")
-    return found.join(roots, same).select(
-        F.element_at(F.split("_path", "/"), -1).alias("file_name"), F.col("_path").alias("file_path"), "file_size",
-        F.sha2(F.concat_ws(":", F.col("file_size").cast("string"), F.col("_digest")), 256).alias("byte_hash"),
+    found = spark.read.format("binaryFile").option(*option).load(path).select(
+        "_metadata.file_path", "_metadata.file_name", F.col("length").alias("file_size")
+    )
+    return found.join(roots, "file_path").select(
+        plain_path(F.col("file_name")).alias("file_name"), "file_path", "file_size", F.sha2(F.concat_ws(":", F.col("file_size").cast("string"), F.col("_digest")), 256).alias("byte_hash"),
     )
 
 

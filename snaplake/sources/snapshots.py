@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplake.functions.keys import version_date
+from snaplake.functions.text import plain_path
 
 VERSION = "dataset_version"
 CSV_OPTIONS = {
@@ -42,11 +44,31 @@ def scan_csv_folder(spark: SparkSession, folder: str, quoted_newlines: bool = Fa
     return frames
 
 
+def header_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The CSV files of a folder by their first line, from one job; file names reach the driver, as they do for any scan."""
+    lines = spark.read.option("pathGlobFilter", CSV_OPTIONS["pathGlobFilter"]).text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("place"), "value"
+    )
+    firsts = lines.where("place.file_block_start = 0").groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    found: dict[str, list[str]] = {}
+    for path, header in firsts.orderBy("path").collect():
+        # The metadata writes paths as URIs.
+        found.setdefault(header, []).append(unquote(path))
+    return found
+
+
 def scan_csv_union(spark: SparkSession, folder: str, quoted_newlines: bool = False) -> DataFrame:
-    """All files of a folder as one table, each read by its own header; a column that a file lacks is NULL."""
-    frames = scan_csv_folder(spark, folder, quoted_newlines)
-    named = [df.withColumn("source_file", F.lit(stem)) for stem, df in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    """All files of a folder as one table, each read by its own header; a column that a file lacks is NULL.
+
+    Files of one header are one scan, so the plan grows with the different headers and not with the files.
+    A file without a line has no rows.
+    """
+    scans = [
+        spark.read.options(**{**CSV_OPTIONS, "multiLine": quoted_newlines}).csv(paths)
+        .withColumn("source_file", F.regexp_replace(plain_path(F.col("_metadata.file_name")), r"\.[^.]*$", ""))
+        for paths in header_files(spark, folder).values()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def scan_entity(spark: SparkSession, path: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_hash_trees_do_not_depend_on_splits(spark, tmp_path):
     rng = random.Random(1)
     given = {
         "a.csv": b"".join(bytes(rng.choices(b"abc\r,\xe9", k=rng.randrange(60))) + b"\n" for _ in range(3000)),
-        "b.CSV": b"x,y\n1,2", "c.csv": b"", "d.csv": b"\n", "e.csv": b"x,y\r\n1,2\r\n", "skip.txt": b"no",
+        "b 1+%.CSV": b"x,y\n1,2", "c.csv": b"", "d.csv": b"\n", "e.csv": b"x,y\r\n1,2\r\n", "skip.txt": b"no",
     }
     for name, raw in given.items():
         (tmp_path / name).write_bytes(raw)

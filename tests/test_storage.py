@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from conftest import plan_text
 
 from pyspark.sql import functions as F
 
@@ -216,3 +217,14 @@ def test_bucketed_snapshots_join_without_a_shuffle(spark, tmp_path, rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS snap_old")
         spark.sql("DROP TABLE IF EXISTS snap_new")
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path, rows):
+    for i in range(60):
+        head, cells = [("id,name", f"{i},n"), ("name,id,extra", f"n,{i},e"), ("id", f"{i}")][i % 3]
+        (tmp_path / f"part {i}.csv").write_text(f"{head}\n{cells}\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = snapshots.scan_csv_union(spark, str(tmp_path))
+    assert plan_text(df).split("== Optimized")[0].count("Relation [") <= 2 * 3
+    got = rows(df, "id", "name", "extra", "source_file")
+    assert len(got) == 60 and ("0", "n", None, "part 0") in got and ("1", "n", "e", "part 1") in got and ("2", None, None, "part 2") in got
