@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator, Sequence
 
@@ -30,6 +31,20 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on, and the next stage's need room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; memory is given back after the last."""
+    yield from batches
+    give_back()
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Non-empty pieces of at most ``ROWS_AT_ONCE`` rows; a worker gives back what a batch took before it reads on."""
     for batch in batches:
@@ -37,6 +52,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, ROWS_AT_ONCE)
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
@@ -96,7 +112,7 @@ def flat(lists: list[np.ndarray], dtype) -> np.ndarray:
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Runs of whole groups from rows sorted by ``keys``, which hold no null."""
     held: pa.Table | None = None
-    for batch in batches:
+    for batch in tidied(batches):
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
         if not rows.num_rows:

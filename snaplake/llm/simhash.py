@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.common import flat, per_batch, texts_of
+from snaplake.llm.common import flat, per_batch, texts_of, tidied
 from snaplake.llm.components import components
 from snaplake.operators.skew import lookup_join
 from snaplake.session import materialise
@@ -186,7 +186,7 @@ def links(fps: DataFrame, bits: int = 4, segment_bits: int = 2) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
         held: list[np.ndarray] | None = None
-        for batch in batches:
+        for batch in tidied(batches):
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
