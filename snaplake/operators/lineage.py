@@ -126,10 +126,11 @@ def intervals(versions: DataFrame, key: str = "id", parent: str = "parent") -> D
             F.col("v").alias("to"), F.col("left").alias("to_left"), F.col("to").alias("_to"), F.col("to_left").alias("_to_left"),
             F.col("entered").alias("_entered"), F.col("deeper").alias("_deeper"),
         )
-        moved = walk.join(ahead, ["to", "to_left"], "left").select(
+        # What has reached the end looks nothing up: in the join its NULLs, in the end half of all rows, would come to one task.
+        moved = walk.where("to IS NOT NULL").join(ahead, ["to", "to_left"], "left").select(
             "v", "left", F.col("_to").alias("to"), F.coalesce("_to_left", F.lit(False)).alias("to_left"),
             (F.col("entered") + F.coalesce("_entered", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_deeper", F.lit(0))).alias("deeper"),
-        )
+        ).unionByName(walk.where("to IS NULL"))
         before = walk
         walk, left = materialise_counted(moved, open=F.count("to"))
         release(before)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snaplake import session
 from snaplake.operators import diff, inclusion, lineage, profile, serve, sketches
-from snaplake.session import materialise, release
+from snaplake.session import materialise, materialise_counted, release
 from snaplake.sinks import copy_on_write as cow
 from snaplake.sinks import directories, tables
 from snaplake.sources import files
@@ -282,3 +282,28 @@ def test_row_fingerprints_take_what_a_grouping_takes_as_equal(spark):
     df = spark.createDataFrame(rows_, "x double, y double, z array<int>, m map<string,int>")
     assert tuple(profile.row_uniqueness(df).first()) == (6, 4, 2)
     assert tuple(profile.row_uniqueness(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_no_task_gets_all_ends_of_a_walk(spark, monkeypatch):
+    """What has reached the end of the walk has no next element; a join by that would bring all of it to one task."""
+    most = []
+
+    def spied(df, **counts):
+        kept, seen = materialise_counted(df, **counts)
+        if "to" in kept.columns:
+            ends = kept.where("to IS NULL").groupBy(F.input_file_name().alias("file")).count()
+            most.append(max((r["count"] for r in ends.collect()), default=0))
+        return kept, seen
+
+    monkeypatch.setattr(lineage, "materialise_counted", spied)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(400).select("id", F.when(F.col("id") > 0, F.expr("(id - 1) div 3")).alias("parent"))
+        assert lineage.intervals(df).count() == 400
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    # Of 800 elements about half end before the last round.
+    assert len(most) > 8 and max(most) < 300
