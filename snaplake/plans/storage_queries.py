@@ -270,7 +270,8 @@ UNION ALL SELECT 'alerts', CAST(s_suppkey AS VARCHAR), 'open', s_name FROM suppl
 def publish_operations(spark, d):
     """Published twice; between the two an analyst edits some research, and sources, runs and alerts change."""
     root = scratch_path(spark, "operations")
-    research, sources = frame(spark, d, "research"), frame(spark, d, "sources")
+    # Research is grouped from all orders; it is stored before it is published twice.
+    research, sources = materialise(frame(spark, d, "research")), frame(spark, d, "sources")
     runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("dataset_version"), F.lit("running").alias("status"))
     alerts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("alert_id"), F.col("s_name").alias("message"), F.lit("open").alias("state"))
     tables.publish_keyed(serve.operations_tables(research, sources, runs, alerts), root)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from snaplake.operators.skew import lookup_join, newest_per_key
 from snaplake.session import materialise_counted
 
-FILE_ROWS = 5_000_000
+# A file is sorted, written and read again by one task.
+FILE_ROWS = 500_000
 
 
 def _folder(spark: SparkSession, path: str):

@@ -92,6 +92,14 @@ def test_inserts_add_files_and_removals_rewrite_theirs(spark, stored, rows):
     assert rows(cow.read_files(spark, root)) == rows(first) and len(cow.states(spark, root)) == 1
 
 
+def test_no_task_writes_or_reads_a_whole_table(spark, tmp_path):
+    """Files are sorted, written and read one by a task, so a table of more than a million rows has several."""
+    root = str(tmp_path / "table")
+    cow.upsert_files(spark.range(1_200_000).withColumnRenamed("id", "k"), root, ["k"])
+    sizes = [r["rows"] for r in cow.manifest(spark, root).collect()]
+    assert sum(sizes) == 1_200_000 and len(sizes) > 1 and max(sizes) < 700_000
+
+
 def test_precedence_and_a_failed_change(spark, stored, rows):
     root, first = stored
     low = spark.createDataFrame([(1, -5, "low"), (2, 77, "high")], "k long, v long, note string")
