@@ -87,6 +87,36 @@ def test_bounds_lose_no_link():
             sizes = [np.array([len(x)]) for x in (one, two)]
             assert similar.near(similar.parts_of(one)[None], sizes[0], similar.parts_of(two)[None], sizes[1]).all()
             assert similar.link_left(len(one), similar.fine_parts_of(one), len(two), similar.fine_parts_of(two))
+            odd = [np.unpackbits(similar.odd_parts_of(x)).astype(int) for x in (one, two)]
+            assert np.abs(odd[0] - odd[1]).sum() <= len(np.setxor1d(one, two))
+            assert similar.near_enough(np.abs(odd[0] - odd[1]).sum(), len(one), len(two))
             some = rng.sample(list(one), len(one) // 2)
             for frequent in (none, (np.sort(np.array(some, np.uint64)), np.arange(len(some), dtype=np.int32) + 1)):
                 assert len(np.intersect1d(similar.prefix(one, frequent), similar.prefix(two, frequent)))
+
+
+def test_a_pair_is_told_where_it_meets_first(spark, monkeypatch):
+    """Texts that nearly link meet at many shingles; what is told must not grow with their number."""
+    rng = random.Random(8)
+    base, texts = [f"w{i}" for i in range(3000)], []
+    for i in range(10):
+        parts = list(base)
+        for at in rng.sample(range(3000), 43):
+            parts[at] = f"x{i}_{at}"
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([*enumerate(texts), (99, texts[0] + " and more"), (99, texts[0] + " and more")], "row long, text string")
+    found, other_pairs, per_group = [], similar.other_pairs, similar.per_group
+
+    def spied(df, keys, then, find):
+        if find is other_pairs:
+            table = df.orderBy(*keys, *then).toArrow()
+            a, b = find([c.to_numpy() for c in table.columns])
+            found.append((len(a), len(set(zip(np.minimum(a, b), np.maximum(a, b))))))
+        return per_group(df, keys, then, find)
+
+    monkeypatch.setattr(similar, "per_group", spied)
+    low = classes_by_force([(i, t) for i, t in enumerate(texts)])
+    got = {r["row"]: r["class"] for r in similar.near_duplicates(docs).collect()}
+    assert {i: got[i] for i in low} == low and got[99] == got[0]
+    ((told, pairs),) = found
+    assert pairs > 30 and told <= 8 * pairs
