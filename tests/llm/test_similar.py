@@ -120,3 +120,21 @@ def test_a_pair_is_told_where_it_meets_first(spark, monkeypatch):
     assert {i: got[i] for i in low} == low and got[99] == got[0]
     ((told, pairs),) = found
     assert pairs > 30 and told <= 8 * pairs
+
+
+def test_fingerprints_join_what_simhash_links(spark):
+    """Candidates by fingerprints reach as far as simhash does by itself, not only to texts that are nearly copies."""
+    rows = edited(3, 250)
+    sets = similar.marked_sets(spark.createDataFrame(rows, "row long, text string")).dropDuplicates(["node"])
+    prints = {similar.node_of(similar.shingle_set(t or "")): simhash.fingerprint(t or "", 5) for _, t in rows}
+    close = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    low = lowest(list(prints), close)
+    assert any((prints[a] ^ prints[b]).bit_count() > 1 for a, b in close)
+    assert sorted(map(tuple, similar.fingerprint_pairs(sets).collect())) == sorted((j, i) for i, j in low.items() if i != j)
+
+
+def test_all_texts_of_a_repeated_number_are_compared(spark):
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    rows = [(1, a), (1, b), (2, [*b[:50], "x", *b[51:]]), (3, [*b[:20], "y", *b[21:]])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "row long, text string").coalesce(1)
+    assert sorted(map(tuple, similar.near_duplicates(docs).collect())) == [(1, 1), (1, 1), (2, 1), (3, 1)]
